@@ -3,7 +3,7 @@
 Documents in ascending order of their ids are tokenized, each ends with an end
 id, and the stream is cut into sequences of ``LENGTH`` ids. A file is an Arrow
 IPC file whose record batches hold two fixed-size lists: ``ids`` and ``mask``
-(1 where there is an id; only a file's last sequence has others). Beside it, an
+(a bit each, set where there is an id; only a file's last sequence has others). Beside it, an
 index file holds each document's id and length. Each task writes one pair of
 files, batch by batch, into a folder of the shared store.
 
@@ -102,7 +102,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
@@ -127,8 +127,8 @@ class SequenceWriter:
             self.waiting, self.held = [rest.tobytes()], len(rest)
 
     def write(self, ids: np.ndarray, count: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:count] = 1
+        mask = np.zeros(len(ids), bool)
+        mask[:count] = True
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids.astype(np.uint16), mask), self.schema)]
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -142,7 +142,7 @@ class SequenceWriter:
 
 
 class SequenceReader:
-    """Random access to a file's sequences; nothing is copied from a mapped file."""
+    """Random access to a file's sequences; a mapped file's ids are not copied."""
 
     def __init__(self, source):
         self.file = pa.ipc.open_file(source)
@@ -151,10 +151,10 @@ class SequenceReader:
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of a record batch, as (sequences, length) views of its buffers."""
+        """ids (a view of the buffer) and mask of a record batch, as (sequences, length)."""
         if self.batches is None or self.batches[0] != k:
             b = self.file.get_batch(k)
-            self.batches = k, tuple(b.column(i).flatten().to_numpy().reshape(-1, self.length) for i in (0, 1))
+            self.batches = k, tuple(b.column(i).flatten().to_numpy(zero_copy_only=i == 0).reshape(-1, self.length) for i in (0, 1))
         return self.batches[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:

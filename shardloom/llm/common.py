@@ -49,7 +49,7 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

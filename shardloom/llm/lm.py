@@ -37,7 +37,7 @@ from .common import configure, stored, text_of
 class Settings:
     drawn: float = 50.0
     even: float = 0.5
-    block_tokens: int = 2_000_000
+    block_tokens: int = 4_000_000
 
 
 def bigrams(ids: np.ndarray, starts: np.ndarray, start_token: int) -> np.ndarray:
@@ -48,15 +48,21 @@ def bigrams(ids: np.ndarray, starts: np.ndarray, start_token: int) -> np.ndarray
     return before << 32 | ids
 
 
-def laid_out(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def packing(vocabulary: int) -> np.dtype:
+    """Two bytes an id where they suffice."""
+    return np.dtype("<u2" if vocabulary < 1 << 16 else "<u4")
+
+
+def laid_out(packed: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids, where each text starts, and how many it has."""
-    counts = np.array([len(p) // 4 for p in packed], np.int64)
-    return np.frombuffer(b"".join(packed), "<u4").astype(np.int64), np.cumsum(counts) - counts, counts
+    counts = np.array([len(p) // kind.itemsize for p in packed], np.int64)
+    return np.frombuffer(b"".join(packed), kind).astype(np.int64), np.cumsum(counts) - counts, counts
 
 
-def tokenized(texts: DataFrame, path: str, pattern: str, settings: Settings) -> DataFrame:
+def tokenized(texts: DataFrame, path: str, pattern: str, vocabulary: int, settings: Settings) -> DataFrame:
     """``doc_id``, ``ids`` and the ``block`` of each row of (doc_id, text), stored."""
-    limit = 4 * settings.block_tokens
+    packed_as = packing(vocabulary)
+    limit = packed_as.itemsize * settings.block_tokens
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path, pattern)
@@ -64,7 +70,7 @@ def tokenized(texts: DataFrame, path: str, pattern: str, settings: Settings) ->
         for rows in batches:
             packed, blocks = [], []
             for text in rows["text"]:
-                ids = b"".join(np.array(enc.encode_ordinary(p), "<u4").tobytes() for p in split_safely(text))
+                ids = b"".join(np.array(enc.encode_ordinary(p), packed_as).tobytes() for p in split_safely(text))
                 if held and held + len(ids) > limit:
                     block, held = block + 1, 0
                 held += len(ids)
@@ -76,13 +82,14 @@ def tokenized(texts: DataFrame, path: str, pattern: str, settings: Settings) ->
     return stored(texts.mapInPandas(tokens, f"doc_id {kind}, block long, ids binary"), "ids")[0]
 
 
-def block_counts(tokens: DataFrame, start_token: int) -> DataFrame:
+def block_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
     """``block``, ``key``, ``n``: bigrams of each block, as far as a task has it; stored."""
+    packed_as = packing(vocabulary)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(block, held):
-            ids, starts, n = laid_out(held)
-            keys, times = np.unique(bigrams(ids, starts[n > 0], start_token), return_counts=True)
+            ids, starts, n = laid_out(held, packed_as)
+            keys, times = np.unique(bigrams(ids, starts[n > 0], vocabulary), return_counts=True)
             return pd.DataFrame({"block": np.full(len(keys), block), "key": keys, "n": times})
 
         block, held = None, []
@@ -123,21 +130,21 @@ def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str,
     """
     spark = docs.sparkSession
     configure(spark)
-    tokens = tokenized(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")), path, pattern, settings)
-    of_target = tokenized(target.select(F.lit(0).alias("doc_id"), text_of(target_text).alias("text")), path, pattern, settings)
+    tokens = tokenized(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")), path, pattern, vocabulary, settings)
+    of_target = tokenized(target.select(F.lit(0).alias("doc_id"), text_of(target_text).alias("text")), path, pattern, vocabulary, settings)
     counts, target_counts = block_counts(tokens, vocabulary), block_counts(of_target, vocabulary)
     known = spark.sparkContext.broadcast((*unigram_counts(counts, vocabulary + 1), *unigram_counts(target_counts, vocabulary + 1)))
     sums = counts.groupBy("key").agg(F.sum("n").alias("background"))
     targets = target_counts.groupBy("key").agg(F.sum("n").alias("target"))
     sums = sums.join(targets, "key", "left").select("key", "background", F.coalesce("target", F.lit(0)).alias("target"))
-    values = counts.select("block", "key").distinct().join(sums, "key")
+    values = counts.select("block", "key").join(sums, "key")  # a block that two tasks had may have a bigram twice
+    packed_as = packing(vocabulary)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def scores(rows: pd.DataFrame, known_counts: pd.DataFrame) -> pd.DataFrame:
         last, context, target_last, target_context = known.value
-        ids, starts, n = laid_out(rows["ids"].tolist())
-        order = np.argsort(known_counts["key"].to_numpy())
-        keys = known_counts["key"].to_numpy()[order]
+        ids, starts, n = laid_out(rows["ids"].tolist(), packed_as)
+        keys, order = np.unique(known_counts["key"].to_numpy(), return_index=True)
         both = [
             loss(keys, known_counts[c].to_numpy(np.float64)[order], *of, settings)
             for c, of in (("target", (target_last, target_context)), ("background", (last, context)))
