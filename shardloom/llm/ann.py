@@ -36,13 +36,14 @@ from .common import configure, stored
 @dataclass(frozen=True)
 class Settings:
     tables: int = 12
-    width: float = 2.0  # of a hash cell, in standard deviations of the projections
-    bucket_rows: float = 40.0  # rows that a bucket should hold: sets the hashes of a table
-    recall: float = 0.98
+    width: float = 2.5  # of a hash cell, in standard deviations of the projections
+    bucket_rows: float = 20.0  # rows that a bucket should hold: sets the hashes of a table
+    recall: float = 0.96
     sample: int = 2000
-    reach: int = 3  # cells to either side that probes may go, of each hash
-    most_probes: int = 4096  # of a table; a query that needs more is held against all rows
-    rows_at_once: int = 512
+    reach: int = 2  # cells to either side that probes may go, of each hash
+    most_probes: int = 1024  # of a table; a query that needs more is held against all rows
+    rows_at_once: int = 512  # queries that are held against all rows together
+    packed_rows: int = 50_000  # rows that a task packs together
     seed: int = 3
 
 
@@ -54,6 +55,7 @@ class Hashes:
     width: float
     follow: float  # slope of a near neighbour's projection by the query's
     spread: float  # its standard deviation
+    deviation: float  # standard deviation of all rows' projections
     settings: Settings
 
     def projected(self, vectors: np.ndarray) -> np.ndarray:
@@ -71,28 +73,33 @@ class Hashes:
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
-    def probes(self, vector: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        """Bucket keys to visit in each table, best first, and whether the aim is met."""
+    def probes(self, vector: np.ndarray) -> list[np.ndarray] | None:
+        """Bucket keys to visit in each table, best first; None if too few reach the aim."""
         s = self.settings
         aim = 1 - (1 - s.recall) ** (1 / s.tables)
         projected = self.projected(vector[None])[:, 0]
         cells = self.cells(projected[:, None])[:, 0]
-        out, met = [], True
         steps = np.arange(-s.reach, s.reach + 1)
-        for t in range(s.tables):
-            low = (cells[t][:, None] + steps) * self.width - self.offsets[t][:, None]
-            mean = self.follow * projected[t][:, None]
-            chance = normal((low + self.width - mean) / self.spread) - normal((low - mean) / self.spread)
-            best, visited = np.ones(1), np.zeros((1, 0), np.int64)
-            for h in range(len(chance)):  # the best of all hashes so far extend to the best of one more
-                both = (best[:, None] * chance[h]).ravel()
-                keep = np.argsort(-both, kind="stable")[: s.most_probes]
-                best = both[keep]
-                visited = np.concatenate([visited[keep // len(steps)], (cells[t, h] + steps[keep % len(steps)])[:, None]], 1)
-            n = int(np.searchsorted(np.cumsum(best), aim)) + 1
-            met &= n <= len(best)
-            out.append(self.keys(visited[:n]))
-        return out, met
+        low = (cells[:, :, None] + steps) * self.width - self.offsets[:, :, None]
+        mean = self.follow * projected[:, :, None]
+        chance = normal((low + self.width - mean) / self.spread) - normal((low - mean) / self.spread)
+        share = normal((low + self.width) / self.deviation) - normal(low / self.deviation)
+        worth = chance / np.maximum(share, 1e-12)
+        best, held, visited = np.ones((s.tables, 1)), np.ones((s.tables, 1)), np.zeros((s.tables, 1, 0), np.int64)
+        every = np.arange(s.tables)[:, None]
+        for h in range(chance.shape[1]):  # the likeliest of all hashes so far extend to the likeliest of one more
+            holds = (held[:, :, None] * chance[:, None, h]).reshape(s.tables, -1)
+            worths = (best[:, :, None] * worth[:, None, h]).reshape(s.tables, -1)
+            n = min(s.most_probes, holds.shape[1])
+            keep = np.argpartition(-holds, n - 1, axis=1)[:, :n]
+            best, held = worths[every, keep], holds[every, keep]
+            cell = cells[:, h, None] + steps[keep % len(steps)]
+            visited = np.concatenate([visited[every, keep // len(steps)], cell[:, :, None]], 2)
+        order = np.argsort(-best, axis=1)
+        n = (np.cumsum(held[every, order], axis=1) < aim).sum(1) + 1
+        if (n > best.shape[1]).any():
+            return None
+        return [self.keys(v[o[:m]]) for v, o, m in zip(visited, order, n)]
 
 
 def normal(x: np.ndarray) -> np.ndarray:
@@ -116,13 +123,14 @@ def fit(vectors: np.ndarray, rows: int, k: int, s: Settings) -> Hashes:
     if len(x) > k + 1:
         some = x[: min(len(x), 500)]
         apart = ((some**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * some @ x.T).clip(0)
-        near = np.argsort(apart, axis=1)[:, 1 : k + 1]
-        a, b = np.repeat(some, k, axis=0), x[near].reshape(-1, x.shape[1])
+        # the sample is thinner than the table: its nearest rows stand for the table's k nearest
+        near = np.argsort(apart, axis=1)[:, 1:2]
+        a, b = some, x[near].reshape(-1, x.shape[1])
         follow = float((a * b).sum() / max((a * a).sum(), 1e-12))
         spread = max(float(np.sqrt(((b - follow * a) ** 2).sum(1).mean() / x.shape[1])), 1e-3 * scale)
     root = np.sqrt(x.shape[1])
     # a Gaussian direction gives a vector's length as the deviation of its projection
-    return Hashes(directions, offsets * root, centre, width * root, follow, spread * root, s)
+    return Hashes(directions, offsets * root, centre, width * root, follow, spread * root, scale * root, s)
 
 
 def cell_bits(width: float) -> float:
@@ -138,18 +146,25 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def best_rows(query_ids, queries, ids, vectors, k: int, at_once: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The ``k`` nearest of the block's rows to each query: (query ids, ids, distances)."""
-    for start in range(0, len(queries), max(1, at_once)):
-        q, q_ids = queries[start : start + at_once], query_ids[start : start + at_once]
-        for a, own in zip(q, q_ids.tolist()):
-            d = np.sqrt(((vectors - a) ** 2).sum(1))
-            d[ids == own] = np.inf
-            near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-            near = np.flatnonzero(d <= d[near].max()) if len(d) > k else near
-            near = near[np.isfinite(d[near])]
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            yield np.full(len(near), own), ids[near], d[near]
+def best_rows(query_ids, queries, ids, vectors, k: int, limits: dict[int, float]) -> tuple[np.ndarray, ...]:
+    """Pairs (query id, id, distance) with the ``k`` nearest of the rows to each query among them.
+
+    ``limits`` holds each query's k-th distance so far, squared; farther rows
+    are left out. Products find the pairs, differences give their distances.
+    """
+    apart = (queries**2).sum(1)[:, None] + (vectors**2).sum(1) - 2 * queries @ vectors.T
+    apart[query_ids[:, None] == ids] = np.inf
+    limit = np.array([limits.get(q, np.inf) for q in query_ids.tolist()])
+    if len(ids) >= k:
+        limit = np.minimum(limit, np.partition(apart, k - 1, axis=1)[:, k - 1])
+        limits.update(zip(query_ids.tolist(), limit.tolist()))
+    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(limit), limit, 0)) + (queries**2).sum(1) + (vectors**2).sum(1).max())
+    q, r = np.nonzero((apart <= (limit + slack)[:, None]) & (apart < np.inf))
+    d = np.empty(len(q))
+    for start in range(0, len(q), 1 << 15):
+        part = slice(start, start + (1 << 15))
+        d[part] = np.sqrt(((queries[q[part]] - vectors[r[part]]) ** 2).sum(1))
+    return query_ids[q], ids[r], d
 
 
 def as_frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
@@ -192,42 +207,61 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, settings: Settings =
         firsts = np.concatenate([[0], cuts])
         return pd.DataFrame({"t": table[firsts].astype(np.int32), "key": key[firsts], "ids": [ids[g].tobytes() for g in groups], "data": [data[g].tobytes() for g in groups]})
 
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in batches:
+            held.append(frame)
+            n += len(frame)
+            if n >= settings.packed_rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if n:
+            yield pd.concat(held, ignore_index=True)
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = hashes.value
-        for frame in batches:
-            if len(frame):
-                keys = h.keys(h.cells(h.projected(matrix(frame["v"]))))
-                t, n = keys.shape
-                yield packed(frame, np.repeat(np.arange(t), n), keys.ravel(), np.tile(np.arange(n), t))
+        for frame in gathered(batches):
+            keys = h.keys(h.cells(h.projected(matrix(frame["v"]))))
+            t, n = keys.shape
+            yield packed(frame, np.repeat(np.arange(t), n), keys.ravel(), np.tile(np.arange(n), t))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = hashes.value
-        for frame in batches:
+        for frame in gathered(batches):
             table, key, row = [], [], []
             for i, v in enumerate(frame["v"]):
-                for t, keys in enumerate(h.probes(np.asarray(v, np.float64))[0]):
+                for t, keys in enumerate(h.probes(np.asarray(v, np.float64)) or []):
                     table.append(np.full(len(keys), t))
                     key.append(keys)
                     row.append(np.full(len(keys), i))
             if key:
                 yield packed(frame, np.concatenate(table), np.concatenate(key), np.concatenate(row))
 
+    def unpacked(ids: list[bytes], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = dict(zip(ids, data))
+        return np.frombuffer(b"".join(parts), np.int64), np.frombuffer(b"".join(parts.values()), np.float64).reshape(-1, size)
+
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limits: dict[int, float] = {}
         for frame in batches:
             out = []
-            for row in frame.itertuples():
-                ids, data = np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, np.float64).reshape(-1, size)
-                query_ids, queries = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_data, np.float64).reshape(-1, size)
-                out += best_rows(query_ids, queries, ids, data, k, settings.rows_at_once)
-            # the batch's buckets of all tables together: each query's best, each row once
+            # rows of a bucket come together: all its blocks and all its queries at once
+            for _, rows in frame.groupby(["t", "key"], sort=False):
+                blocks_here = list(zip(rows["ids"], rows["data"]))
+                queries_here = unpacked(rows["q_ids"].tolist(), rows["q_data"].tolist())
+                found = [best_rows(*queries_here, *unpacked([i], [d]), k, limits) for i, d in dict(blocks_here).items()] if sum(len(i) for i, _ in blocks_here) > 1 << 22 else [best_rows(*queries_here, *unpacked(*map(list, zip(*blocks_here))), k, limits)]
+                out += found
+            # each query's best of the batch, each row once
             found = as_frame(out).drop_duplicates().sort_values(["query_id", "score", "vec_id"])
             yield found.groupby("query_id").head(k)
+            if len(limits) > 1 << 20:
+                limits.clear()
 
     columns = "t int, key long, ids binary, data binary"
     queries = vectors.where(F.col("q")).select("vec_id", "v")
     blocks = vectors.select("vec_id", "v").mapInPandas(index, columns)
     visits = queries.mapInPandas(visit, columns).select("t", "key", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    met = blocks.join(visits, ["t", "key"]).select("ids", "data", "q_ids", "q_data")
+    met = blocks.join(visits, ["t", "key"]).select("t", "key", "ids", "data", "q_ids", "q_data")
     found = met.mapInPandas(near, "query_id long, vec_id long, score double").distinct()
     best, _ = stored(top(found, k).select("query_id", "rank", "vec_id", "score"), "neighbours")
 
@@ -246,9 +280,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, settings: Settings =
         sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), matrix(block["v"])))
 
         def against_all(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            limits: dict[int, float] = {}
             for frame in batches:
                 if len(frame):
-                    yield as_frame(list(best_rows(*sent.value, frame["vec_id"].to_numpy(np.int64), matrix(frame["v"]), k, settings.rows_at_once)))
+                    yield as_frame([best_rows(*sent.value, frame["vec_id"].to_numpy(np.int64), matrix(frame["v"]), k, limits)])
 
         rest = vectors.select("vec_id", "v").mapInPandas(against_all, "query_id long, vec_id long, score double").distinct()
         results.append(top(rest, k).select("query_id", "rank", "vec_id", "score"))
