@@ -42,7 +42,7 @@ class Settings:
     sample: int = 2000
     reach: int = 2  # cells to either side that probes may go, of each hash
     most_probes: int = 1024  # of a table; a query that needs more is held against all rows
-    rows_at_once: int = 512  # queries that are held against all rows together
+    rows_at_once: int = 512  # queries that are held against rows together
     packed_rows: int = 50_000  # rows that a task packs together
     seed: int = 3
 
@@ -243,19 +243,26 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, settings: Settings =
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limits: dict[int, float] = {}
+        best = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         for frame in batches:
             out = []
             # rows of a bucket come together: all its blocks and all its queries at once
             for _, rows in frame.groupby(["t", "key"], sort=False):
-                blocks_here = list(zip(rows["ids"], rows["data"]))
-                queries_here = unpacked(rows["q_ids"].tolist(), rows["q_data"].tolist())
-                found = [best_rows(*queries_here, *unpacked([i], [d]), k, limits) for i, d in dict(blocks_here).items()] if sum(len(i) for i, _ in blocks_here) > 1 << 22 else [best_rows(*queries_here, *unpacked(*map(list, zip(*blocks_here))), k, limits)]
-                out += found
-            # each query's best of the batch, each row once
-            found = as_frame(out).drop_duplicates().sort_values(["query_id", "score", "vec_id"])
-            yield found.groupby("query_id").head(k)
-            if len(limits) > 1 << 20:
+                own = unpacked(rows["ids"].tolist(), rows["data"].tolist())
+                asked = unpacked(rows["q_ids"].tolist(), rows["q_data"].tolist())
+                for a in range(0, len(asked[0]), settings.rows_at_once):
+                    for b in range(0, len(own[0]), 1 << 14):
+                        part, block = slice(a, a + settings.rows_at_once), slice(b, b + (1 << 14))
+                        out.append(best_rows(asked[0][part], asked[1][part], own[0][block], own[1][block], k, limits))
+            # each query's best so far, each row once
+            best = pd.concat([best, as_frame(out)]).drop_duplicates().sort_values(["query_id", "score", "vec_id"])
+            best = best.groupby("query_id").head(k)
+            if len(best) > settings.packed_rows * k:
+                yield best
+                best = best.iloc[:0]
                 limits.clear()
+        if len(best):
+            yield best
 
     columns = "t int, key long, ids binary, data binary"
     queries = vectors.where(F.col("q")).select("vec_id", "v")
