@@ -70,7 +70,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
         segment = F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << size) - 1))
         for bit in range(size):
             variants.append(F.struct(F.lit(64 * k + bit).cast("short").alias("place"), segment.bitwiseAND(F.lit(((1 << size) - 1) ^ (1 << bit))).alias("left")))
-    index = prints.select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.place", "v.left")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many rows
+    index = prints.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.place", "v.left")
     a, b = index.alias("a"), index.alias("b")
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # a pair whose segment is equal meets under all blanked bits: the first counts
