@@ -38,7 +38,7 @@ class Settings:
     tables: int = 12
     width: float = 2.5  # of a hash cell, in standard deviations of the projections
     bucket_rows: float = 20.0  # rows that a bucket should hold: sets the hashes of a table
-    recall: float = 0.96
+    recall: float = 0.975
     sample: int = 2000
     reach: int = 2  # cells to either side that probes may go, of each hash
     most_probes: int = 1024  # of a table; a query that needs more is held against all rows

@@ -153,10 +153,10 @@ WITH sized AS (
            substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS part
     FROM sized
 ), placed AS (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, part, doc_id NULLS FIRST, size) AS at FROM stepped
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, part, doc_id NULLS FIRST, size) AS pos FROM stepped
 )
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (floor(at * rate + moved) - floor((at - 1) * rate + moved)))::BIGINT AS taken
+       (size * (floor(pos * rate + moved) - floor((pos - 1) * rate + moved)))::BIGINT AS taken
 FROM (SELECT p.*, t.source_size, t.target, t.moved, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate
       FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source)
 """
