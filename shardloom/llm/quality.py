@@ -170,10 +170,10 @@ def train(docs: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, s
     return model
 
 
-def fit(rated: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on rows of (doc_id, text, grade); rows without a grade are left out."""
-    rows = rated.where(F.col("grade").isNotNull())
-    sample, totals = labelled_sample(rows, "grade", ["text"], "doc_id", settings.per_grade)
+def fit(docs: DataFrame, ratings: DataFrame, settings: Settings = Settings()) -> Model:
+    """Train on documents (doc_id, text) by ``ratings`` (doc_id, grade); rows without a grade are left out."""
+    rows = ratings.where(F.col("grade").isNotNull())
+    sample, totals = labelled_sample(docs, rows, "grade", ["text"], settings.per_grade)
     ids = Features(settings.buckets)
     grades = sample["grade"].to_numpy(dtype=np.int64)
     taken = {v: max(1, int((grades == v).sum())) for v in totals}

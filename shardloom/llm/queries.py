@@ -34,19 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def training_rows(spark: SparkSession, sf_dir: str, label: str, name: str) -> DataFrame:
-    """Labelled documents (doc_id, text, lang, label) outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias(name)).where(F.col(name).isNotNull() & (fold_of("doc_id") != 1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return docs.join(labels, "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str, label: str, name: str) -> DataFrame:
+    """(doc_id, label) outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias(name))
+    return labels.where(F.col(name).isNotNull() & (fold_of("doc_id") != 1))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    return toxicity.fit(training_rows(spark, sf_dir, "toxic", "label"))
+    return toxicity.fit(table(spark, sf_dir, "documents"), training_labels(spark, sf_dir, "toxic", "label"))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
-    return quality.fit(training_rows(spark, sf_dir, "quality", "grade"))
+    return quality.fit(table(spark, sf_dir, "documents"), training_labels(spark, sf_dir, "quality", "grade"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
