@@ -64,14 +64,14 @@ def with_copies(docs: DataFrame, id_col: str, source_col: str, size: Column, wei
     ``docs`` is read three times; let it be a table or a cheap plan.
     """
     source = F.col(f"`{source_col}`").cast("string")
-    size = F.coalesce(size.cast("long"), F.lit(0))
+    docs = docs.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0)))  # once: counting words is dear
+    size = F.col("__size")
     targets = source_targets(docs, source, size, weights, share, most)
     power = F.length(F.bin(size)) - 1
     step = F.when(size == 0, F.lit(-1)).otherwise(power * 16 + F.floor(size * 16 / F.pow(F.lit(2.0), power)) - 16).cast("int")
     part = F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), 1, 2)
     keyed = docs.withColumns(
         {
-            "__size": size,
             "__no_source": source.isNull(),
             "__source": F.coalesce(source, F.lit("")),
             "__step": step,

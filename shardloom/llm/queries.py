@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, arrowfile, bpe, lm, mixing, pieces, quality, simhash, toxicity, webp
 from .common import fold_of, stored
 
-#: Where the vocabulary files of the public tokenizers are.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer_file(name: str) -> str:
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
+    """The place of a public tokenizer's vocabulary; operators take it as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def split_pattern() -> str:
-    import public_tokenizers
-
     return public_tokenizers.PATTERN
 
 
