@@ -131,10 +131,11 @@ class Writer:
             if missing:
                 raise Unsupported(f"INSERT into {table.full_name} lacks its sharding column {missing[0]!r}")
         rows = rows.select(*[(F.col(f"`{f.name.lower()}`") if f.name.lower() in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        rows = self.held(rows)
-        first = None
+        # numbered before it is written aside: files come back in any order
+        numbered = self.held(rows.withColumn("__at", F.monotonically_increasing_id()))
+        rows, first = numbered.drop("__at"), None
         if table.auto_column and table.sequence:
-            rows, first = self.filled(table, rows)
+            rows, first = self.filled(table, numbered)
         if ignore:
             rows = self.new_rows(table, rows)
         n = rows.count()
@@ -175,10 +176,9 @@ class Writer:
         store.commit({table.full_name: Stored(rows.schema.json(), {s: [f] for s, f in folders.items()})})
         return row["next_id"]
 
-    def filled(self, table: Table, rows: DataFrame) -> tuple[DataFrame, int | None]:
-        """Null automatic values from the sequence: an offset for each partition, and the place within."""
-        column = table.auto_column
-        numbered = self.held(rows.withColumn("__at", F.monotonically_increasing_id()))
+    def filled(self, table: Table, numbered: DataFrame) -> tuple[DataFrame, int | None]:
+        """Null automatic values from the sequence, by ``__at``: an offset for each partition, and the place within."""
+        column, rows = table.auto_column, numbered.drop("__at")
         empty = F.col(column).isNull()
         part = F.shiftright("__at", 33)
         sizes = {r["p"]: r["n"] for r in numbered.where(empty).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
