@@ -81,7 +81,7 @@ def apply(spark: SparkSession, config: dict[str, Any], strict: bool = False) ->
         for table in ks.tables.values():
             if table.full_name not in store.tables and table.columns:
                 fields = ", ".join(f"`{c}` {t or 'string'}" for c, t in table.columns.items())
-                new[table.full_name] = Stored(T.StructType.fromDDL(fields).json())
+                new[table.full_name] = Stored(T.StructType.fromDDL(fields).json(), buckets=table.buckets)
                 report.append(f"created table {table.full_name}")
         wanted = {s.name for s in ks.shards}
         for name, stored in store.tables.items():
@@ -120,8 +120,8 @@ def split(engine: Engine, keyspace: str, shards: list[str] | int) -> dict[str, i
                 continue
             stored = engine.store.table(table.full_name)
             rows = engine.store.read(stored)
-            folders = engine.store.write(table.full_name, engine.writer.checked(engine.writer.placed(table, rows)))
-            changes[table.full_name] = Stored(stored.schema, {s: [f] for s, f in folders.items()})
+            folders = engine.store.write(table.full_name, engine.writer.checked(engine.writer.placed(table, rows)), stored.buckets)
+            changes[table.full_name] = stored.of_folders(folders)
             counts[table.full_name] = rows.count()
         engine.store.commit(changes)
     except BaseException:
@@ -136,8 +136,8 @@ def compact(engine: Engine, name: str) -> None:
     stored = engine.store.table(table.full_name)
     many = [s for s, f in stored.shards.items() if len(f) > 1]
     if many:
-        folders = engine.store.write(table.full_name, engine.store.read(stored, many, with_shard=True))
-        engine.store.commit({table.full_name: Stored(stored.schema, {**stored.shards, **{s: [f] for s, f in folders.items()}})})
+        folders = engine.store.write(table.full_name, engine.store.read(stored, many, with_shard=True), stored.buckets)
+        engine.store.commit({table.full_name: Stored(stored.schema, {**stored.shards, **{s: [f] for s, f in folders.items()}}, stored.buckets)})
 
 
 def status(engine: Engine):

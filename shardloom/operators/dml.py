@@ -67,8 +67,8 @@ class Writer:
 
     def load(self, table: Table, rows: DataFrame) -> None:
         placed = self.placed(table, rows)
-        folders = self.engine.store.write(table.full_name, self.checked(placed))
-        new = Stored(rows.schema.json(), {s: [f] for s, f in folders.items()})
+        folders = self.engine.store.write(table.full_name, self.checked(placed), table.buckets)
+        new = Stored(rows.schema.json(), buckets=table.buckets).of_folders(folders)
         self.engine.stage({table.full_name: new}, {(table.keyspace, s) for s in folders})
 
     @staticmethod
@@ -140,7 +140,7 @@ class Writer:
             rows = self.new_rows(table, rows)
         n = rows.count()
         changes = self.lookup_changes(table, None, rows, ignore)
-        folders = self.engine.store.write(table.full_name, self.checked(self.placed(table, rows))) if n else {}
+        folders = self.engine.store.write(table.full_name, self.checked(self.placed(table, rows)), self.engine.data(table).buckets) if n else {}
         new = self.engine.data(table).copy()
         for s, f in folders.items():
             new.shards.setdefault(s, []).append(f)
@@ -198,7 +198,12 @@ class Writer:
 
     def lookup(self, vindex: Lookup, keyspace: str, values: tuple) -> list[Any]:
         table = self.engine.vschema.find(vindex.table, keyspace)
-        found = self.engine.store.read(self.engine.data(table))
+        shards = None
+        ks = self.engine.vschema.keyspace(table.keyspace)
+        if ks.sharded and table.primary and set(table.primary.columns) <= set(vindex.from_columns):  # a sharded lookup: only where the values are
+            by = dict(zip(vindex.from_columns, values))
+            shards = table.primary.vindex.map(*[by[c] for c in table.primary.columns]).shards(ks.shards)
+        found = self.engine.store.read(self.engine.data(table), shards)
         for c, v in zip(vindex.from_columns, values):
             found = found.where(F.col(c) == F.lit(v))
         return [r[0] for r in found.select(vindex.to_column).collect()]
@@ -210,10 +215,15 @@ class Writer:
             if not cv.owner or not isinstance(cv.vindex, Lookup) or (only is not None and not only & set(cv.columns)):
                 continue
             target = self.engine.vschema.find(cv.vindex.table, table.keyspace)
-            now = self.engine.store.read(self.engine.data(target))
+            store, state = self.engine.store, self.engine.data(target).copy()
             if old is not None:
                 gone = self.lookup_rows(table, cv, old)
-                now = now.join(gone, [now[c].eqNullSafe(gone[c]) for c in gone.columns], "left_anti")
+                touched = self.shards_of(target, gone)
+                now = store.read(state, touched, with_shard=True)
+                kept = now.join(gone, [now[c].eqNullSafe(gone[c]) for c in gone.columns], "left_anti")
+                folders = store.write(target.full_name, kept, state.buckets)
+                for s in touched:
+                    state.shards[s] = [folders[s]] if s in folders else []
             if new is not None:
                 more = self.lookup_rows(table, cv, new)
                 if not cv.vindex.ignore_nulls and more.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cv.vindex.from_columns])).count():
@@ -221,16 +231,25 @@ class Writer:
                 more = more.dropna(subset=cv.vindex.from_columns)
                 if cv.vindex.unique:
                     keys = cv.vindex.from_columns
-                    twice = more.groupBy(*keys).count().where("count > 1").count() + now.join(more.select(*keys).distinct(), keys, "left_semi").count()
+                    there = store.read(state, self.shards_of(target, more))
+                    twice = more.groupBy(*keys).count().where("count > 1").count() + there.join(more.select(*keys).distinct(), keys, "left_semi").count()
                     if twice and not ignore:
                         raise Invalid(f"duplicate entry in unique lookup {cv.vindex.name!r}")
-                now = now.unionByName(more, allowMissingColumns=True)
-            schema = self.engine.data(target).schema
-            kept = now.select(*[f.name for f in T.StructType.fromJson(json.loads(schema)).fields])
-            folders = self.engine.store.write(target.full_name, self.placed(target, kept))
-            changes[target.full_name] = Stored(schema, {s: [f] for s, f in folders.items()})
+                fields = T.StructType.fromJson(json.loads(state.schema)).fields
+                whole = more.select(*[(F.col(f"`{f.name}`") if f.name in more.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+                for s, f in store.write(target.full_name, self.checked(self.placed(target, whole)), state.buckets).items():
+                    state.shards.setdefault(s, []).append(f)
+            changes[target.full_name] = state
         return changes
 
+    def shards_of(self, table: Table, rows: DataFrame) -> list[str]:
+        """Shards of a table that these rows' sharding columns lead to; all if rows lack them."""
+        shards = list(self.engine.data(table).shards)
+        if len(shards) < 2 or table.primary is None or not set(table.primary.columns) <= set(rows.columns):
+            return shards
+        there = {r[0] for r in self.placed(table, rows).select(SHARD).distinct().collect()}
+        return [s for s in shards if s in there]
+
     def lookup_rows(self, table: Table, cv: ColumnVindex, rows: DataFrame) -> DataFrame:
         to = self.ksid_column(table)
         if cv.vindex.hashed:
@@ -307,7 +326,7 @@ class Writer:
             kept = rows.select(*[(F.when(condition, values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in rows.columns])
             new, only = old.withColumns(values), set(assigned)
         changes = self.lookup_changes(table, old.drop(SHARD), new.drop(SHARD) if new is not None else None, only=only)
-        folders = self.engine.store.write(table.full_name, kept)
+        folders = self.engine.store.write(table.full_name, kept, stored.buckets)
         state = stored.copy()
         for s in touched:
             state.shards[s] = [folders[s]] if s in folders else []
@@ -331,7 +350,7 @@ class Writer:
             dialect = self.engine.vschema.keyspace(table.keyspace).dialect
             if statement == "CREATE":
                 columns, warnings = ddl.spark_columns(parts[end:], dialect)
-                self.engine.store.commit({table.full_name: Stored(T.StructType.fromDDL(columns).json())})
+                self.engine.store.commit({table.full_name: Stored(T.StructType.fromDDL(columns).json(), buckets=table.buckets)})
                 return Result(0, warnings=warnings)
             stored = self.engine.data(table)
             if statement == "ALTER" and parts[end].word == "ADD":
@@ -339,10 +358,10 @@ class Writer:
                 schema = T.StructType.fromJson(json.loads(stored.schema))
                 for f in T.StructType.fromDDL(columns).fields:
                     schema = schema.add(f)
-                self.engine.store.commit({table.full_name: Stored(schema.json(), stored.shards)})
+                self.engine.store.commit({table.full_name: Stored(schema.json(), stored.shards, stored.buckets)})
                 return Result(0, warnings=warnings)
             if statement in ("TRUNCATE", "DROP"):
-                self.engine.store.commit({table.full_name: Stored(stored.schema)})
+                self.engine.store.commit({table.full_name: stored.of_folders({})})
                 return Result(0)
         raise Unsupported(f"cannot route: {joined(parts[:4])}")
 

@@ -29,11 +29,17 @@ class Table:
     auto_column: str | None = None
     sequence: str | None = None
     source: str | None = None
+    #: Files of each shard by hash of the sharding columns; for keys without hot values.
+    bucket_count: int = 0
 
     @property
     def full_name(self) -> str:
         return f"{self.keyspace}.{self.name}"
 
+    @property
+    def buckets(self) -> tuple[int, list[str]] | None:
+        return (self.bucket_count, self.primary.columns) if self.bucket_count and self.primary and self.kind == "normal" else None
+
     @property
     def primary(self) -> ColumnVindex | None:
         return next((v for v in self.vindexes if v.vindex.unique and not isinstance(v.vindex, Lookup)), next((v for v in self.vindexes if v.vindex.unique), None))
@@ -114,7 +120,7 @@ class VSchema:
         found.sort(key=lambda v: v.vindex.cost)
         auto = body.get("auto_increment") or {}
         columns = {c["name"].lower(): c.get("type", "") for c in body.get("columns", [])}
-        table = Table(ks.name, name, kind, found, columns, bool(body.get("column_list_authoritative")), (auto.get("column") or "").lower() or None, auto.get("sequence"), body.get("source"))
+        table = Table(ks.name, name, kind, found, columns, bool(body.get("column_list_authoritative")), (auto.get("column") or "").lower() or None, auto.get("sequence"), body.get("source"), int(body.get("buckets", 0)))
         if ks.sharded and kind == "normal" and table.primary is None:
             raise Invalid(f"table {name!r} in a sharded keyspace needs a unique vindex")
         return table

@@ -22,7 +22,9 @@ def test_even_split_covers_all(n):
 
 def test_shard_names():
     assert [r.name for r in even_split(3)] == ["-5555555555555556", "5555555555555556-aaaaaaaaaaaaaaac", "aaaaaaaaaaaaaaac-"]
-    assert KeyRange.parse("-8") == KeyRange.parse("-80")
+    assert KeyRange.parse("-8") == KeyRange.parse("-80") and KeyRange.parse("-8").name == "-80"
+    long = KeyRange.parse("-0000000000000400")
+    assert long.name == "-0000000000000400" and long == KeyRange.parse("-00000000000004")
     low = KeyRange.parse("-80")
     assert low.contains(b"\x7f\xff\xff") and low.contains(b"\0") and not low.contains(b"\x80") and not low.contains(b"\x80\0")
     for bad in ("80", "zz-", "80-40"):

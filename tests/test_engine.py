@@ -5,6 +5,7 @@ import copy
 import pytest
 
 from shardloom import ctl
+from shardloom.dialect.text import single_statement
 from shardloom.engine import Engine
 from shardloom.errors import EngineError, Invalid, TransactionError, Unsupported
 from shardloom.plans.vschema import VSchema
@@ -256,3 +257,64 @@ def test_stream_ingest(spark, make, tmp_path):
 def test_declared_schema_of_queries_loads():
     assert VSchema(copy.deepcopy(SCHEMA)).find("events").primary.vindex.kind == "multicol"
     assert Stored("{}").shards == {}
+
+
+def bucketed(spark, folder, shards):
+    declared = schema(shards)
+    commerce = declared["keyspaces"]["commerce"]
+    for name in ("user", "corder"):
+        commerce["tables"][name]["buckets"] = 4
+    # a lookup that is sharded itself
+    commerce["vindexes"]["email_idx"]["params"]["table"] = "places.email_lookup"
+    declared["keyspaces"]["places"] = {"sharded": True, "shards": 3, "vindexes": {"md5": {"type": "binary_md5"}}, "tables": {"email_lookup": {"column_vindexes": [{"column": "email", "name": "md5"}]}}}
+    del declared["keyspaces"]["main"]["tables"]["email_lookup"]
+    e = Engine(spark, VSchema(declared), Store(spark, f"file://{folder}/bucketed-{shards}"))
+    rows = spark.createDataFrame([(i, f"u{i}@x.io", f"u{13 - i:02}", "gb fr de".split()[i % 3]) for i in range(1, 13)], USERS)
+    e.load("user", rows)
+    e.load("places.email_lookup", e.writer.lookup_rows(e.vschema.find("user"), e.vschema.find("user").vindexes[-1], rows))
+    e.load("corder", spark.createDataFrame([(i, i % 6 + 1, i * 10) for i in range(1, 31)], ORDERS))
+    return e
+
+
+JOINED = "SELECT u.user_id, count(*) AS n, sum(price) AS s FROM user u JOIN corder c ON u.user_id = c.user_id GROUP BY u.user_id ORDER BY 1"
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_collocated_join_of_buckets_has_no_exchange(spark, tmp_path, make, shards):
+    e, plain = bucketed(spark, tmp_path, shards), make(2)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for text in (None, "INSERT INTO corder VALUES (100, 1, 5), (101, 6, 7)", "UPDATE corder SET price = price + 1 WHERE user_id IN (1, 2)", "DELETE FROM corder WHERE user_id = 3", "DELETE FROM corder WHERE price > 200"):
+            for engine in (e, plain):
+                if text:
+                    engine.sql(text)
+            out = e.sql(JOINED.replace(" ORDER BY 1", ""))
+            assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+            assert e.sql(JOINED).collect() == plain.sql(JOINED).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    ctl.compact(e, "corder")
+    assert all(len(f) == 1 for f in e.store.table("commerce.corder").shards.values()) and e.sql(JOINED).collect() == plain.sql(JOINED).collect()
+    again = Engine(spark, e.vschema, Store(spark, e.store.root))
+    assert again.sql(JOINED).collect() == plain.sql(JOINED).collect()
+    ctl.split(e, "commerce", 4)
+    assert e.sql(JOINED).collect() == plain.sql(JOINED).collect()
+    e.sql("DELETE FROM corder")
+    assert e.sql(JOINED).collect() == []
+
+
+def test_writes_touch_only_their_part_of_a_lookup(spark, tmp_path):
+    e = bucketed(spark, tmp_path, 2)
+    before = e.store.table("places.email_lookup").copy()
+    assert len(before.shards) == 3
+    e.sql("INSERT INTO user (user_id, email) VALUES (50, 'fifty@x')")
+    after = e.store.table("places.email_lookup")
+    assert sum(len(f) for f in after.shards.values()) == 4 and all(set(f) <= set(after.shards[s]) for s, f in before.shards.items())
+    e.sql("UPDATE user SET email = 'moved@x' WHERE user_id = 50")
+    assert one(e, "SELECT user_id FROM user WHERE email = 'moved@x'") == 50 and e.sql("SELECT 1 FROM user WHERE email = 'fifty@x'").count() == 0
+    e.sql("DELETE FROM user WHERE user_id = 50")
+    assert sorted(r[0] for r in e.sql("SELECT email FROM places.email_lookup").collect()) == sorted(f"u{i}@x.io" for i in range(1, 13))
+    assert e.routes(single_statement("SELECT 1 FROM user WHERE email = 'u4@x.io'"), {})["user"].shards == ["80-"]
+    with pytest.raises(Invalid, match="duplicate"):
+        e.sql("INSERT INTO user (user_id, email) VALUES (55, 'u4@x.io')")
