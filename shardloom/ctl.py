@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -120,7 +121,7 @@ def split(engine: Engine, keyspace: str, shards: list[str] | int) -> dict[str, i
                 continue
             stored = engine.store.table(table.full_name)
             rows = engine.store.read(stored)
-            folders = engine.store.write(table.full_name, engine.writer.checked(engine.writer.placed(table, rows)), stored.buckets)
+            folders = engine.store.write(table.full_name, engine.writer.checked(engine.writer.placed(table, rows)), stored)
             changes[table.full_name] = stored.of_folders(folders)
             counts[table.full_name] = rows.count()
         engine.store.commit(changes)
@@ -136,8 +137,8 @@ def compact(engine: Engine, name: str) -> None:
     stored = engine.store.table(table.full_name)
     many = [s for s, f in stored.shards.items() if len(f) > 1]
     if many:
-        folders = engine.store.write(table.full_name, engine.store.read(stored, many, with_shard=True), stored.buckets)
-        engine.store.commit({table.full_name: Stored(stored.schema, {**stored.shards, **{s: [f] for s, f in folders.items()}}, stored.buckets)})
+        folders = engine.store.write(table.full_name, engine.store.read(stored, many, with_shard=True), stored)
+        engine.store.commit({table.full_name: replace(stored, shards={**stored.shards, **{s: [f] for s, f in folders.items()}})})
 
 
 def status(engine: Engine):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dialect import ddl
-from ..dialect.text import Token, closing, joined, row_values_spread, split_commas, to_spark
+from ..dialect.text import Token, closing, joined, single_statement, split_commas, to_spark
 from ..errors import Invalid, NotFound, Unsupported
 from ..functions.vindex import Lookup
 from ..keyrange import shard_column
@@ -67,8 +68,10 @@ class Writer:
 
     def load(self, table: Table, rows: DataFrame) -> None:
         placed = self.placed(table, rows)
-        folders = self.engine.store.write(table.full_name, self.checked(placed), table.buckets)
-        new = Stored(rows.schema.json(), buckets=table.buckets).of_folders(folders)
+        known = self.engine.store.tables.get(table.full_name)
+        new = Stored(rows.schema.json(), buckets=table.buckets, indexes=dict(known.indexes) if known else {})
+        folders = self.engine.store.write(table.full_name, self.checked(placed), new)
+        new = new.of_folders(folders)
         self.engine.stage({table.full_name: new}, {(table.keyspace, s) for s in folders})
 
     @staticmethod
@@ -140,7 +143,7 @@ class Writer:
             rows = self.new_rows(table, rows)
         n = rows.count()
         changes = self.lookup_changes(table, None, rows, ignore)
-        folders = self.engine.store.write(table.full_name, self.checked(self.placed(table, rows)), self.engine.data(table).buckets) if n else {}
+        folders = self.engine.store.write(table.full_name, self.checked(self.placed(table, rows)), self.engine.data(table)) if n else {}
         new = self.engine.data(table).copy()
         for s, f in folders.items():
             new.shards.setdefault(s, []).append(f)
@@ -221,7 +224,7 @@ class Writer:
                 touched = self.shards_of(target, gone)
                 now = store.read(state, touched, with_shard=True)
                 kept = now.join(gone, [now[c].eqNullSafe(gone[c]) for c in gone.columns], "left_anti")
-                folders = store.write(target.full_name, kept, state.buckets)
+                folders = store.write(target.full_name, kept, state)
                 for s in touched:
                     state.shards[s] = [folders[s]] if s in folders else []
             if new is not None:
@@ -237,7 +240,7 @@ class Writer:
                         raise Invalid(f"duplicate entry in unique lookup {cv.vindex.name!r}")
                 fields = T.StructType.fromJson(json.loads(state.schema)).fields
                 whole = more.select(*[(F.col(f"`{f.name}`") if f.name in more.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-                for s, f in store.write(target.full_name, self.checked(self.placed(target, whole)), state.buckets).items():
+                for s, f in store.write(target.full_name, self.checked(self.placed(target, whole)), state).items():
                     state.shards.setdefault(s, []).append(f)
             changes[target.full_name] = state
         return changes
@@ -302,31 +305,38 @@ class Writer:
             probe += [Token("word", "AS"), Token("quoted", f"`{alias}`")]
         if where:
             probe += [Token("word", "WHERE"), *where]
-        found = next(iter(self.engine.routes(probe, given).values()))
+        routes = self.engine.routes(probe, given)
+        found = routes.pop(f"{table.keyspace}.{table.name}".lower())
         stored = self.engine.data(table)
-        rows = self.engine.store.read(stored, found.shards, with_shard=True).alias(alias or table.name)
-        text = joined(row_values_spread(where)) if where else "true"
+
+        def marked(shards: list[str]) -> DataFrame:
+            """Rows with ``__hit``: whether the condition holds; other tables may stand in its subqueries."""
+            rows = self.engine.store.read(stored, shards, with_shard=True)
+            test = [Token("sign", "("), *where, Token("sign", ")")] if where else [Token("word", "true")]
+            text = [*single_statement("SELECT *, coalesce("), *test, *single_statement(f", false) AS __hit FROM __target AS `{alias or table.name}`")]
+            return self.engine.run(text, given, routes, {"__target": rows}).alias(alias or table.name)
+
+        rows = marked(found.shards)
         for k, v in given.items():  # markers as literals: expressions take no arguments
-            text = text.replace(f":{k}", literal(v))
             assigned = assigned and {c: e.replace(f":{k}", literal(v)) for c, e in assigned.items()}
-        condition = F.coalesce(F.expr(text), F.lit(False))
+        condition = F.col("__hit")
         counts = {r[SHARD]: r["n"] for r in rows.where(condition).groupBy(SHARD).agg(F.count(F.lit(1)).alias("n")).collect()}
         touched = sorted(counts)
         if not touched:
             return Result(0)
-        rows = self.engine.store.read(stored, touched, with_shard=True).alias(alias or table.name)
-        old = rows.where(condition)
+        rows = marked(touched)
+        old = rows.where(condition).drop("__hit")
         if assigned is None:
-            kept, new, only = rows.where(~condition), None, None
+            kept, new, only = rows.where(~condition).drop("__hit"), None, None
         else:
             kinds = {f.name.lower(): f for f in rows.schema.fields}
             values = {kinds[c].name: F.expr(e).cast(kinds[c].dataType) for c, e in assigned.items() if c in kinds}
             if len(values) != len(assigned):
                 raise NotFound(f"{table.full_name} lacks a column that is set")
-            kept = rows.select(*[(F.when(condition, values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in rows.columns])
+            kept = rows.select(*[(F.when(condition, values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in rows.columns if c != "__hit"])
             new, only = old.withColumns(values), set(assigned)
         changes = self.lookup_changes(table, old.drop(SHARD), new.drop(SHARD) if new is not None else None, only=only)
-        folders = self.engine.store.write(table.full_name, kept, stored.buckets)
+        folders = self.engine.store.write(table.full_name, kept, stored)
         state = stored.copy()
         for s in touched:
             state.shards[s] = [folders[s]] if s in folders else []
@@ -339,6 +349,10 @@ class Writer:
         from ..engine import Result
 
         statement, kind = parts[0].word, parts[1].word if len(parts) > 1 else ""
+        if kind == "VIEW" or statement == "CREATE" and [t.word for t in parts[1:4]] == ["OR", "REPLACE", "VIEW"]:
+            return self.view(statement, parts, args)
+        if kind == "INDEX" and statement in ("CREATE", "DROP"):
+            return self.index(statement, parts)
         if statement == "TRUNCATE" or kind == "TABLE":
             at = find_word(parts, ("TABLE",)) + 1 if kind == "TABLE" else 1
             while parts[at].word in ("IF", "NOT", "EXISTS", "TABLE"):
@@ -358,7 +372,7 @@ class Writer:
                 schema = T.StructType.fromJson(json.loads(stored.schema))
                 for f in T.StructType.fromDDL(columns).fields:
                     schema = schema.add(f)
-                self.engine.store.commit({table.full_name: Stored(schema.json(), stored.shards, stored.buckets)})
+                self.engine.store.commit({table.full_name: replace(stored, schema=schema.json())})
                 return Result(0, warnings=warnings)
             if statement in ("TRUNCATE", "DROP"):
                 self.engine.store.commit({table.full_name: stored.of_folders({})})
@@ -366,6 +380,63 @@ class Writer:
         raise Unsupported(f"cannot route: {joined(parts[:4])}")
 
 
+    def view(self, statement: str, parts: list[Token], args: Any):
+        """A view is its text: reads route its tables anew."""
+        from ..engine import Result
+
+        at = find_word(parts, ("VIEW",)) + 1
+        while parts[at].word in ("IF", "NOT", "EXISTS"):
+            at += 1
+        name, end = name_at(parts, at)
+        if "." not in name and not self.engine.keyspace:
+            raise Invalid("no keyspace is in use")
+        name = name if "." in name else f"{self.engine.keyspace}.{name}"
+        ks = self.engine.vschema.keyspace(name.partition(".")[0])
+        full = f"{ks.name}.{name.partition('.')[2].lower()}"
+        if full.partition(".")[2] in ks.tables:
+            raise Invalid(f"{full!r} is a table")
+        if statement == "DROP":
+            if full not in self.engine.store.tables and not any(t.word == "EXISTS" for t in parts[:at]):
+                raise NotFound(f"unknown view {full!r}")
+            self.engine.store.drop_entry(full)
+            return Result(0)
+        if statement != "CREATE" or parts[end].word != "AS":
+            raise Unsupported(f"cannot route: {joined(parts[:4])}")
+        if full in self.engine.store.tables and not any(t.word in ("REPLACE", "EXISTS") for t in parts[:at]):
+            raise Invalid(f"view {full!r} is already there")
+        if full not in self.engine.store.tables or parts[1].word == "OR":
+            schema = self.engine.query(parts[end + 1 :], args).schema.json()
+            self.engine.store.commit({full: Stored(schema, view=(self.engine.keyspace, joined(parts[end + 1 :])))})
+        return Result(0)
+
+    def index(self, statement: str, parts: list[Token]):
+        """An index is an order of the files: its creation rewrites the table, later writes keep to it."""
+        from ..engine import Result
+
+        on = find_word(parts, ("ON",))
+        if on == len(parts):
+            raise Unsupported(f"{statement} INDEX names its table")
+        name, (table_name, end) = parts[on - 1].name, name_at(parts, on + 1)
+        table = self.engine.vschema.find(table_name, self.engine.keyspace)
+        state = self.engine.data(table).copy()
+        if statement == "DROP":
+            if name not in state.indexes:
+                raise NotFound(f"{table.full_name} has no index {name!r}")
+            state.indexes = {n: c for n, c in state.indexes.items() if n != name}
+            self.engine.store.commit({table.full_name: state})
+            return Result(0)
+        known = {f.name.lower(): f.name for f in T.StructType.fromJson(json.loads(state.schema)).fields}
+        columns = [piece[0].name.lower() for piece in split_commas(parts[end + 1 : closing(parts, end)])]
+        if name in state.indexes:
+            raise Invalid(f"{table.full_name} already has an index {name!r}")
+        if missing := [c for c in columns if c not in known]:
+            raise NotFound(f"{table.full_name} has no column {missing[0]!r}")
+        rows = self.engine.store.read(state, with_shard=True)
+        state.indexes = {**state.indexes, name: [known[c] for c in columns]}
+        self.engine.store.commit({table.full_name: state.of_folders(self.engine.store.write(table.full_name, rows, state))})
+        return Result(0)
+
+
 def literal(value: Any) -> str:
     if value is None:
         return "NULL"

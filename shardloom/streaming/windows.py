@@ -19,7 +19,7 @@ def ingest(engine, table: str, stream: DataFrame, checkpoint: str):
     target = engine.vschema.find(table)
 
     def append(batch: DataFrame, number: int) -> None:
-        folders = engine.store.write(target.full_name, engine.writer.checked(engine.writer.placed(target, batch)), engine.data(target).buckets)
+        folders = engine.store.write(target.full_name, engine.writer.checked(engine.writer.placed(target, batch)), engine.data(target))
         engine.store.refresh()
         new = engine.data(target).copy()
         for shard, folder in folders.items():

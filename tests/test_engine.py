@@ -145,7 +145,8 @@ ALWAYS_REFUSED = [
     ("DELETE user FROM user", "not supported across shards"),
     ("INSERT INTO corder (order_id, price) VALUES (1, 2)", "sharding column"),
     ("INSERT INTO corder (order_id, user_id) VALUES (1)", r"value\(s\) but"),
-    ("SAVEPOINT a", "not implemented"),
+    ("SAVEPOINT a", "no transaction"),
+    ("CREATE UNIQUE INDEX a ON user (name)", "cannot route"),
     ("SHOW PROCESSLIST", "not implemented"),
     ("GRANT ALL", "cannot route"),
     ("SELECT 1; SELECT 2", "single statement"),
@@ -318,3 +319,67 @@ def test_writes_touch_only_their_part_of_a_lookup(spark, tmp_path):
     assert e.routes(single_statement("SELECT 1 FROM user WHERE email = 'u4@x.io'"), {})["user"].shards == ["80-"]
     with pytest.raises(Invalid, match="duplicate"):
         e.sql("INSERT INTO user (user_id, email) VALUES (55, 'u4@x.io')")
+
+
+def test_savepoints(make):
+    e = make()
+    for text in ("BEGIN", "DELETE FROM corder WHERE user_id = 1", "SAVEPOINT a", "DELETE FROM corder WHERE user_id = 2", "SAVEPOINT b", "DELETE FROM corder"):
+        e.sql(text)
+    e.sql("ROLLBACK TO SAVEPOINT b")
+    assert one(e, "SELECT count(*) FROM corder") == 20
+    e.sql("ROLLBACK TO a")
+    assert one(e, "SELECT count(*) FROM corder") == 25
+    with pytest.raises(EngineError, match="unknown savepoint"):
+        e.sql("RELEASE SAVEPOINT b")
+    e.sql("RELEASE SAVEPOINT a")
+    e.sql("COMMIT")
+    assert one(e, "SELECT count(*) FROM corder") == 25
+    with pytest.raises(Unsupported, match="not implemented"):
+        make(strict=True).sql("SAVEPOINT a")
+
+
+def test_views(make):
+    e = make()
+    e.sql("USE commerce")
+    e.sql("CREATE VIEW rich AS SELECT user_id, sum(price) AS total FROM corder WHERE user_id IN (1, 2, 4) GROUP BY user_id")
+    e.sql("CREATE VIEW commerce.richest AS SELECT * FROM rich WHERE total > 600")
+    assert [tuple(r) for r in e.sql("SELECT r.user_id, u.name FROM rich r JOIN user u ON u.user_id = r.user_id ORDER BY 1").collect()] == [(1, "u12"), (2, "u11"), (4, "u09")]
+    before = one(e, "SELECT total FROM richest WHERE user_id = 1")
+    e.sql("UPDATE corder SET price = price + 1 WHERE user_id = 1")
+    assert one(e, "SELECT total FROM richest WHERE user_id = 1") == before + 5
+    assert "corder" not in e.sql("VEXPLAIN SELECT * FROM rich").first()[0] and e.spark.catalog.listTables() is not None
+    with pytest.raises(Invalid, match="already"):
+        e.sql("CREATE VIEW rich AS SELECT 1 AS x")
+    e.sql("CREATE OR REPLACE VIEW rich AS SELECT 7 AS x")
+    assert one(e, "SELECT x FROM rich") == 7
+    e.sql("DROP VIEW rich")
+    with pytest.raises(EngineError, match="unknown table"):
+        e.sql("SELECT * FROM rich")
+
+
+def test_indexes_order_the_files(make, spark):
+    e = make()
+    e.sql("CREATE INDEX by_price ON corder (price, order_id DESC)")
+    e.sql("INSERT INTO corder (order_id, user_id, price) VALUES (200, 1, 9), (201, 1, 3), (202, 1, 6)")
+    assert one(e, "SELECT count(*) FROM corder") == 33
+    for folders in e.store.table("commerce.corder").shards.values():
+        for folder in folders:
+            for path in spark.read.parquet(folder).inputFiles():
+                prices = [r[0] for r in spark.read.parquet(path).select("price").collect()]
+                assert prices == sorted(prices)
+    assert Store(spark, e.store.root).table("commerce.corder").indexes == {"by_price": ["price", "order_id"]}
+    e.sql("DROP INDEX by_price ON corder")
+    with pytest.raises(EngineError, match="no index"):
+        e.sql("DROP INDEX by_price ON corder")
+    with pytest.raises(EngineError, match="no column"):
+        e.sql("CREATE INDEX other ON corder (nothing)")
+
+
+def test_writes_with_subqueries(make):
+    e = make()
+    gone = e.sql("DELETE FROM corder WHERE user_id IN (SELECT user_id FROM user WHERE country = 'fr') AND price > 20")
+    want = [i for i in range(1, 31) if not ("gb fr de".split()[(i % 6 + 1) % 3] == "fr" and i * 10 > 20)]
+    assert gone.rows_affected == 30 - len(want) and [r[0] for r in e.sql("SELECT order_id FROM corder ORDER BY 1").collect()] == want
+    e.sql("UPDATE corder AS c SET price = -1 WHERE EXISTS (SELECT 1 FROM corder o WHERE o.user_id = c.user_id AND o.price > c.price)")
+    assert one(e, "SELECT count(*) FROM (SELECT user_id FROM corder WHERE price >= 0 GROUP BY user_id HAVING count(*) > 1) t") == 0
+    assert e.sql("DELETE FROM corder WHERE price = ? OR order_id NOT IN (SELECT order_id FROM review)", [-1]).rows_affected > 0
