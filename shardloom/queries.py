@@ -431,11 +431,37 @@ def event_windows_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+def dml_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scratch(spark, sf_dir, "customer", "orders")
+    e.sql("DELETE FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+    e.sql("UPDATE orders SET o_orderpriority = 'none' WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3)")
+    return e.sql("SELECT o_orderkey, o_orderpriority FROM orders")
+
+
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scratch(spark, sf_dir, "customer", "orders")
+    e.sql("CREATE VIEW commerce.spending AS SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey")
+    return e.sql("SELECT c_name, n, most FROM customer JOIN spending ON c_custkey = o_custkey WHERE n > 3")
+
+
+def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scratch(spark, sf_dir, "lineitem")
+    e.sql("CREATE INDEX by_date ON lineitem (l_shipdate)")
+    return e.sql("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01 00:00:00'")
+
+
+def savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scratch(spark, sf_dir, "supplier")
+    for text in ("BEGIN", "DELETE FROM supplier WHERE s_suppkey < 10", "SAVEPOINT a", "DELETE FROM supplier", "ROLLBACK TO a", "COMMIT"):
+        e.sql(text)
+    return e.sql("SELECT s_suppkey FROM supplier")
+
+
 FUNCTIONS = (
     dml_insert, dml_insert_select, dml_update, dml_delete, dml_lookup_update, transaction, sequence_fill, shard_counts, show_tables, vexplain, event_windows,
     vindex_null, vindex_multicol, vindex_static_map, lookup_rows, range_shards, use_shard, route_any_array, route_placeholders, limit_mysql, dml_insert_ignore,
     dml_insert_unsharded, dml_insert_reference, dml_lookup_delete, dml_bucketed, dml_truncate, ddl_create_alter, ddl_translated, reshard, show_databases,
-    show_variables, show_vindexes, select_variables, event_windows_sliding,
+    show_variables, show_vindexes, select_variables, event_windows_sliding, dml_subquery, view, index_order, savepoint,
 )
 
 
@@ -485,4 +511,11 @@ def oracle_sql() -> dict[str, str]:
     out["show_variables"] = "SELECT 'character_set_' || k AS Variable_name, 'utf8mb4' AS \"Value\" FROM (VALUES ('client'), ('connection'), ('results'), ('server')) t(k)"
     out["select_variables"] = "SELECT '67108864' AS packet, '1' AS auto, NULL::VARCHAR AS nothing"
     out["event_windows_sliding"] = "SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY 1, 2"
+    out["dml_subquery"] = (
+        "SELECT o_orderkey, CASE WHEN c_nationkey = 3 THEN 'none' ELSE o_orderpriority END AS o_orderpriority "
+        "FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0"
+    )
+    out["view"] = "SELECT c_name, n, most FROM customer JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) s ON c_custkey = o_custkey WHERE n > 3"
+    out["index_order"] = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01 00:00:00'"
+    out["savepoint"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey >= 10"
     return out
