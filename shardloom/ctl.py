@@ -151,7 +151,7 @@ def status(engine: Engine):
 
 
 def main(args: list[str]) -> int:
-    """``python -m shardloom.ctl (apply | validate | status | query SQL | explain SQL) CONFIG``"""
+    """``python -m shardloom.ctl (apply | validate | status | vacuum | query SQL | explain SQL) CONFIG``"""
     if len(args) < 2:
         print(main.__doc__)
         return 2
@@ -163,6 +163,8 @@ def main(args: list[str]) -> int:
     engine, report = apply(SparkSession.builder.getOrCreate(), config)
     if args[0] == "apply":
         print("\n".join(report))
+    elif args[0] == "vacuum":
+        print(engine.store.vacuum(), "folders deleted")
     elif args[0] == "status":
         status(engine).show(1000, False)
     else:

@@ -383,3 +383,13 @@ def test_writes_with_subqueries(make):
     e.sql("UPDATE corder AS c SET price = -1 WHERE EXISTS (SELECT 1 FROM corder o WHERE o.user_id = c.user_id AND o.price > c.price)")
     assert one(e, "SELECT count(*) FROM (SELECT user_id FROM corder WHERE price >= 0 GROUP BY user_id HAVING count(*) > 1) t") == 0
     assert e.sql("DELETE FROM corder WHERE price = ? OR order_id NOT IN (SELECT order_id FROM review)", [-1]).rows_affected > 0
+
+
+def test_vacuum_keeps_what_manifests_name(spark, tmp_path):
+    e = bucketed(spark, tmp_path, 2)
+    for text in ("INSERT INTO corder VALUES (100, 1, 5)", "UPDATE corder SET price = 0 WHERE user_id = 1", "DELETE FROM corder WHERE user_id = 2"):
+        e.sql(text)
+    want = e.sql(JOINED).collect()
+    assert e.store.vacuum(keep=1, hours=1) == 0 and len(e.store.versions()) == 1
+    assert e.store.vacuum(keep=1, hours=-1) > 0 and e.store.vacuum(keep=1, hours=-1) == 0
+    assert e.sql(JOINED).collect() == want and Engine(spark, e.vschema, Store(spark, e.store.root)).sql(JOINED).collect() == want
