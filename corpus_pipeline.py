@@ -5,7 +5,9 @@ The first four return the columns of ``documents``:
 
 1. toxicity: documents whose score reaches their language's threshold go;
 2. quality: documents whose chance of grade 1 is under one half go;
-3. near_duplicates: one document of each SimHash component stays;
+3. near_duplicates: one document of each component of near copies stays: those
+   whose five-word shingles are alike by 0.8 or more, or whose SimHashes differ
+   in at most 3 bits;
 4. mix: each document comes as often as its source's target takes it;
 5. bpe: token ids and their decoded bytes, as digests.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import bpe, mixing, quality, simhash, toxicity
+from shardloom.llm import bpe, mixing, nearcopies, quality, toxicity
 from shardloom.llm.common import configure, fresh_path, text_of
 from shardloom.llm.queries import quality_model, split_pattern, tokenizer_file, toxicity_model
 
@@ -41,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.without_near_duplicates(docs, words=3, bits=3)
+    return nearcopies.without_near_copies(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
