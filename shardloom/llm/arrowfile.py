@@ -14,6 +14,7 @@ file and an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ SEQUENCES = 64  # of a record batch
 REMEMBER = 700_000
 DTYPE = np.dtype("<u2")
 MARKS = ".,;:!?"
+#: White space to Python's split, but not to a tokenizer's pattern.
+NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 _TOKENIZERS: dict[str, WordTokens] = {}
 
@@ -46,14 +49,17 @@ class WordTokens:
     For a tokenizer that drops white space, the ids of a text are those of its
     parts between white space. A part's ids are in turn those of the part
     without a closing mark, and of the mark, since marks after a letter or
-    digit are words of their own; and ASCII parts go by their lower case.
+    digit are words of their own; and ASCII parts go by their lower case. Texts
+    that hold an added token or ``NOT_SPACE`` go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = True  # a part in lower case may look like an added token, no part is one
+        self.whole = Tokenizer.from_file(path)
+        self.apart = (*NOT_SPACE, *(t.content for t in self.whole.get_added_tokens_decoder().values()))
         if self.library.get_vocab_size() > np.iinfo(DTYPE).max + 1:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.known: dict[str, bytes] = {}
@@ -64,11 +70,22 @@ class WordTokens:
 
     def core(self, part: str) -> str:
         if len(part) > 1 and part[-1] in self.marks and part[-2].isalnum():
-            part = part[:-1]
+            # normalized, a letter may end with a combining mark, which the closing mark would join
+            if part.isascii() or unicodedata.normalize("NFC", part[:-1]).lower()[-1].isalnum():
+                part = part[:-1]
         return part.lower() if part.isascii() else part
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.apart)]
+        if odd:
+            out = self.of_plain(["" if any(a in t for a in self.apart) else t for t in texts])
+            for i in odd:
+                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, DTYPE).tobytes()
+            return out
+        return self.of_plain(texts)
+
+    def of_plain(self, texts: list[str]) -> list[bytes]:
         split = [t.split() for t in texts]
         flat = list(chain.from_iterable(split))
         ids = list(map(self.known.get, flat))
