@@ -23,12 +23,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import configure, remove, stored, text_of
 
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Fingerprints whose variants one task makes.
+INDEXED_BY_TASK = 50_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -64,24 +67,33 @@ def segments(bits: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct fingerprints (column ``fp``) of at most ``bits`` differing bits."""
-    variants = []
-    for k, (low, size) in enumerate(segments(bits)):
+    """Pairs ``a`` < ``b`` of distinct fingerprints (column ``fp`` of a table) of at most ``bits`` differing bits.
+
+    The index is dealt out once, by place and what is left of the segment; only
+    places that several fingerprints share are kept, and joined with themselves.
+    """
+    cuts = segments(bits)
+    keys = []
+    for k, (low, size) in enumerate(cuts):
         segment = F.shiftrightunsigned(F.col("fp"), low).bitwiseAND(F.lit((1 << size) - 1))
-        for bit in range(size):
-            variants.append(F.struct(F.lit(64 * k + bit).cast("short").alias("place"), segment.bitwiseAND(F.lit(((1 << size) - 1) ^ (1 << bit))).alias("left")))
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become many rows
-    index = prints.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.place", "v.left")
-    a, b = index.alias("a"), index.alias("b")
+        keys += [segment.bitwiseAND(F.lit(((1 << size) - 1) ^ (1 << bit))).bitwiseOR(F.lit((64 * k + bit) << 32)) for bit in range(size)]
+    # few bytes become many rows: by a hash of its own, as a table dealt by fp already would stay as it is
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // INDEXED_BY_TASK))
+    index = prints.select("fp").repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.array(*keys)).alias("key"))
+    met = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "fp")
+    met, _ = stored(met, "met")
+    # small files may stand for many rows: no side is sent whole, and adaptive execution splits a hot key
+    a, b = met.hint("merge").alias("a"), met.hint("merge").alias("b")
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    # a pair whose segment is equal meets under all blanked bits: the first counts
-    first = F.lit(False)
-    for k, (low, size) in enumerate(segments(bits)):
+    # a pair counts once: in the first segment that differs in at most one bit, and there, if it is equal, under the first blanked bit
+    counts, before = F.lit(False), F.lit(True)
+    for k, (low, size) in enumerate(cuts):
         differs = F.shiftrightunsigned(apart, low).bitwiseAND(F.lit((1 << size) - 1))
-        first = first | ((F.col("a.place") == 64 * k) & (differs == 0)) | (F.floor(F.col("a.place") / 64) == k) & (differs != 0)
-    meet = (F.col("a.place") == F.col("b.place")) & (F.col("a.left") == F.col("b.left"))
-    pairs = a.join(b, meet & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= bits) & first)
-    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+        place = F.shiftright("a.key", 32)
+        counts = counts | before & ((place == 64 * k) | (F.floor(place / 64) == k) & (differs != 0))
+        before = before & (F.bit_count(differs) > 1)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(apart) <= bits) & counts)
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(prints: DataFrame, bits: int = 3) -> DataFrame:
     """``fp`` and ``component_id`` of a table of (doc_id, fp) rows."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct, _ = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -143,7 +155,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, id_c
     slim = numbered.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
     # smallest id and row of each fingerprint first: copies are folded before any join
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
-    best = slim.groupBy("fp").agg(F.min(order).alias("best"))
+    best, _ = stored(slim.groupBy("fp").agg(F.min(order).alias("best")), "best")
     roots = components(links(best.select("fp"), bits)).withColumnRenamed("node", "fp")
     kept = best.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
     return numbered.join(kept, "__row", "left_semi").drop("__row", "__fp")
