@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..shipping import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN_DIRS: dict[str, str] = {}
+#: Of each open workspace, what was stored in it.
+_OPEN: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> None:
@@ -26,12 +29,14 @@ def configure(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (one
-    machine, as in tests) an own temporary folder takes its place.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and
+    Spark runs on one machine, as in tests, an own temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="shardloom-")
@@ -49,6 +54,8 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -59,6 +66,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def workspace(spark: SparkSession):
+    """What is stored meanwhile is deleted at the end: results must have been written or read by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
 def text_of(name: str) -> Column:
     """The text column as a string, null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

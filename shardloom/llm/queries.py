@@ -80,8 +80,9 @@ def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized, _ = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
-    mixed = mixing.with_copies(sized, "doc_id", "source", F.col("size"), weights=(3, 1, 2), share=1.5, most=2.0)
+    part = mixing.part_of(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    sized, _ = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size"), part.alias("part")), "sizes")
+    mixed = mixing.with_copies(sized, "doc_id", "source", F.col("size"), weights=(3, 1, 2), share=1.5, most=2.0, part=F.col("part"))
     return mixed.select(
         "doc_id",
         F.col("__size").alias("size"),
@@ -119,7 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP8_SQL = r"""
 WITH sized AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+    SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), sums AS (
     SELECT source, sum(size)::BIGINT AS source_size,
            row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
@@ -139,8 +140,8 @@ WITH sized AS (
            ('0x' || substr(md5('mix' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || '/' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS moved
     FROM capped
 ), stepped AS (
-    SELECT *, CASE WHEN size = 0 THEN -1 ELSE (length(bin(size)) - 1) * 16 + (size * 16) // (1::BIGINT << (length(bin(size)) - 1)) - 16 END AS step,
-           substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS part
+    SELECT doc_id, source, size, CASE WHEN size = 0 THEN -1 ELSE (length(bin(size)) - 1) * 16 + (size * 16) // (1::BIGINT << (length(bin(size)) - 1)) - 16 END AS step,
+           substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 2) AS part
     FROM sized
 ), placed AS (
     SELECT *, row_number() OVER (PARTITION BY source ORDER BY step, part, doc_id NULLS FIRST, size) AS pos FROM stepped
