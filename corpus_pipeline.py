@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import bpe, mixing, nearcopies, quality, toxicity
-from shardloom.llm.common import configure, fresh_path, text_of
+from shardloom.llm.common import configure, fresh_path, remove, stored, text_of, workspace
 from shardloom.llm.queries import quality_model, split_pattern, tokenizer_file, toxicity_model
 
 #: Least chance of the wanted grade to stay.
@@ -47,7 +47,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emitted(mixing.with_copies(docs, "doc_id", "source", mixing.word_count("text")))
+    size, part = mixing.word_count("text"), mixing.part_of(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    sized, _ = stored(docs.select("source", size.alias("__size"), part.alias("__part")), "sizes")
+    return mixing.emitted(mixing.with_copies(docs, "doc_id", "source", size, part=part, counted=sized))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,11 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is a table of the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each returns is a table of the shared folder, which goes once the next is there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = fresh_path(spark, f"stage-{name}")
-        out.write.parquet(path)
+        with workspace(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
