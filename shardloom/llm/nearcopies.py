@@ -8,6 +8,9 @@ fifth of one's shingles meets the first fifth of the other's. Pairs that meet
 are held against each other by parities of their shingles, which show a least
 count of those that they do not share, and then by their whole sets.
 
+The smaller of two such sets needs only its first ninth: shingles that no set
+has so early lead to no pair, however many texts hold them.
+
 Neighbours in the groups that share a shingle are tried first; after that only
 pairs whose ends are not connected yet, so that a group of many near copies
 costs its size and not its square. Equal sets are folded before any join.
@@ -30,9 +33,11 @@ from .simhash import SEED, components, fingerprint, links
 WORDS = 5
 #: Least similarity, as a ratio of whole numbers.
 LEAST = (4, 5)
-#: Texts whose shingles are counted for the order; any order gives the same links.
-SAMPLE = 8_000
-COMMON = 100_000
+#: Texts whose shingles are counted for the order, and shingles that it knows to be common; any order gives the same links.
+SAMPLE = 64_000
+COMMON = 400_000
+#: Neighbours to either side that a text is held against before all others.
+AROUND = 3
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -49,7 +54,7 @@ def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndar
     """The first shingles, of which a similar text has one among its own; ``common`` is sorted."""
     top, bottom = LEAST
     n = len(found) - -(-len(found) * top // bottom) + 1 if len(found) else 0
-    often = np.zeros(len(found), np.int64)
+    often = np.zeros(len(found), np.int32)
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         often = np.where(common[at] == found, counts[at], 0)
@@ -82,15 +87,16 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
             yield pd.Series([shingles(t, words).view(np.int64) for t in part], dtype=object)
 
     counted = some.select(F.explode(of("text")).alias("s")).groupBy("s").count().where(F.col("count") > 2)
-    rows = counted.orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
-    common, counts = rows["s"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    rows = counted.orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+    common, counts = rows["s"].to_numpy().view(np.uint64), np.minimum(rows["count"].to_numpy(), 1 << 30).astype(np.int32)
     order = np.argsort(common)
     return common[order], counts[order]
 
 
 def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """``a``, ``b``, ``fa``, ``fb`` of the pairs of sets (``a``, ``b``) that are similar enough."""
+    """The pairs of sets (``a``, ``b``) that are similar enough, with ``fa`` and ``fb``."""
     top, bottom = LEAST
+    own = pairs.columns
 
     @F.pandas_udf("binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,12 +119,12 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, chosen: DataFra
             yield pd.Series([least_apart(*p) * (top + bottom) <= (bottom - top) * (i + j) for *p, i, j in zip(x, y, n, m)], dtype=bool)
 
     a, b = (sets.select(F.col("key").alias(n), F.col("size").alias(f"n{n}"), F.col("odd").alias(f"o{n}")) for n in "ab")
-    left = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(may_be("oa", "ob", "na", "nb")).select("a", "b")
+    left = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(may_be("oa", "ob", "na", "nb")).select(*own)
     pairs, _ = stored(left, "maybe")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     whole_sets, _ = stored(texts.join(chosen.join(ends, "key").select("__row"), "__row", "left_semi").select("key", "fp", whole("text").alias("set")), "sets")
     a, b = (whole_sets.select(F.col("key").alias(n), F.col("fp").alias(f"f{n}"), F.col("set").alias(f"s{n}")) for n in "ab")
-    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("sa", "sb")).select("a", "b", "fa", "fb")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(alike("sa", "sb")).select(*own, "fa", "fb")
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -129,8 +135,10 @@ def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: in
     """
     top, bottom = LEAST
     entries = sets.select("key", "size", F.posexplode("prefix").alias("place", "s"))
+    # of two sets, the smaller has the shingle so early that what follows can be their common part
+    early = F.col("place") * (top + bottom) <= F.col("size") * (bottom - top)
     met = Window.partitionBy("s")
-    shared = entries.withColumn("n", F.count(F.lit(1)).over(met)).where("n > 1")
+    shared = entries.withColumns({"n": F.count(F.lit(1)).over(met), "any": F.max(early).over(met)}).where("n > 1 and any")
     shared, _ = stored(shared.select("s", "key", "size", "place"), "shared")
 
     def possible(p: str, q: str):
@@ -142,9 +150,11 @@ def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: in
     def ordered(p: str, q: str) -> tuple:
         return F.least(f"{p}.key", f"{q}.key").alias("a"), F.greatest(f"{p}.key", f"{q}.key").alias("b")
 
-    line = met.orderBy("size", "key")
+    # neighbours by size and by chance, and the smallest: they connect most of a group of near copies
+    line, chance = met.orderBy("size", "key"), met.orderBy(F.xxhash64("key", F.lit(1)), "key")
     me = F.struct("key", "size", "place")
-    near = shared.select(me.alias("p"), F.lag(me).over(line).alias("last"), F.first(me).over(line).alias("least")).select("p", F.explode(F.array("last", "least")).alias("q"))
+    around = [F.lag(me, k).over(w) for w in (line, chance) for k in range(1, AROUND + 1)]
+    near = shared.select(me.alias("p"), F.array(F.first(me).over(line), *around).alias("near")).select("p", F.explode("near").alias("q"))
     near = near.where(F.col("q").isNotNull() & (F.col("p.key") != F.col("q.key")) & possible("p", "q"))
     tried, _ = stored(near.select(*ordered("p", "q")).distinct(), "tried")
     first, _ = stored(similar(tried, sets, texts, chosen, words), "similar")
@@ -153,11 +163,16 @@ def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: in
     rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)}).where("low <> high").drop("low", "high")
     open_, _ = stored(open_, "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    apart = (F.col("p.s") == F.col("q.s")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.key") < F.col("q.key"))
-    others = p.join(q, apart & possible("p", "q")).select(*ordered("p", "q")).distinct().join(tried, ["a", "b"], "left_anti")
+    p, q = open_.hint("merge").alias("p"), open_.where(early).hint("merge").alias("q")
+    smaller = F.struct("q.size", "q.key") < F.struct("p.size", "p.key")
+    apart = (F.col("p.s") == F.col("q.s")) & (F.col("p.root") != F.col("q.root")) & smaller
+    swapped = F.col("p.key") > F.col("q.key")
+    roots = [F.when(swapped, F.col(f"{y}.root")).otherwise(F.col(f"{x}.root")).alias(n) for x, y, n in (("p", "q", "ra"), ("q", "p", "rb"))]
+    others = p.join(q, apart & possible("p", "q")).select(*ordered("p", "q"), *roots).distinct().join(tried, ["a", "b"], "left_anti")
     others, _ = stored(others, "others")
-    return first.union(similar(others, sets, texts, chosen, words))
+    # one pair of each two components connects them
+    more = similar(others, sets, texts, chosen, words).groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b", "fa", "fb"), "a").alias("x")).select("x.*")
+    return first.union(more)
 
 
 def without_near_copies(docs: DataFrame, bits: int = 3, bit_words: int = 3, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
