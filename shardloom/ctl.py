@@ -82,7 +82,7 @@ def apply(spark: SparkSession, config: dict[str, Any], strict: bool = False) ->
         for table in ks.tables.values():
             if table.full_name not in store.tables and table.columns:
                 fields = ", ".join(f"`{c}` {t or 'string'}" for c, t in table.columns.items())
-                new[table.full_name] = Stored(T.StructType.fromDDL(fields).json(), buckets=table.buckets)
+                new[table.full_name] = Stored(T.StructType.fromDDL(fields).json(), buckets=table.buckets, keys=table.keys)
                 report.append(f"created table {table.full_name}")
         wanted = {s.name for s in ks.shards}
         for name, stored in store.tables.items():
@@ -101,7 +101,7 @@ def schema_drift(engine: Engine) -> list[str]:
     for name, stored in engine.store.tables.items():
         want = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(json.loads(stored.schema)).fields}
         for shard, folders in stored.shards.items():
-            for folder in folders:
+            for folder in folders:  # of a folder, one file's footer
                 have = {f.name: f.dataType.simpleString() for f in engine.spark.read.parquet(folder).schema.fields}
                 out += [f"{name}/{shard}: missing column {c}" for c in want.keys() - have.keys()]
                 out += [f"{name}/{shard}: unexpected column {c}" for c in have.keys() - want.keys()]

@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Invalid
-from ..keyrange import ALL, NOWHERE, Destination, successor, to_id, to_range
+from ..keyrange import ALL, NOWHERE, Destination, KeyRange, successor, to_id, to_range
 from ..shipping import ship_package
 from ..types import as_u64, canonical_bytes
 from . import des
@@ -275,7 +275,7 @@ class MultiColumn(Vindex):
 class Lookup(Vindex):
     """Ids from a mapping table of ``from`` columns to an id.
 
-    ``reader`` finds the ids of a tuple of values; the engine sets it.
+    ``reader`` finds the shards that hold the ids of tuples of values; the engine sets it.
     """
 
     params = ("table", "from", "to", "write_only", "ignore_nulls", "autocommit", "no_verify", "read_lock", "batch_lookup")
@@ -292,17 +292,20 @@ class Lookup(Vindex):
         self.columns = len(self.from_columns)
         flag = lambda p: str(self.given.get(p, "false")).lower() == "true"
         self.write_only, self.ignore_nulls = flag("write_only"), flag("ignore_nulls")
-        self.reader: Callable[[tuple], list[Any]] | None = None
+        self.reader: Callable[[list[tuple]], list[KeyRange]] | None = None
 
-    def stored_form(self, ksid: bytes) -> Any:
-        return Hash("").value_of(ksid) if self.hashed else ksid
+    def id_column(self, to: Column) -> Column:
+        """The id that the table's last column stands for."""
+        return Hash(self.name).ksid(to) if self.hashed else to
 
     def map(self, *values):
+        return self.map_all([values])
+
+    def map_all(self, rows: list[tuple]) -> Destination:
+        """Where the rows of any of these values are, by one look at the table."""
         if self.write_only or self.reader is None:
             return ALL
-        found = self.reader(values)
-        ids = [Hash("").id_of(v) if self.hashed else bytes(v) for v in found]
-        return Destination(ids=frozenset(ids))
+        return Destination(ranges=frozenset(self.reader(rows))) if rows else NOWHERE
 
 
 def _lookup(kind: str, unique: bool, hashed: bool = False, consistent: bool = False) -> type[Lookup]:

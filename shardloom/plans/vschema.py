@@ -31,6 +31,8 @@ class Table:
     source: str | None = None
     #: Files of each shard by hash of the sharding columns; for keys without hot values.
     bucket_count: int = 0
+    #: Columns that no two rows share, the primary key first.
+    keys: list[list[str]] = field(default_factory=list)
 
     @property
     def full_name(self) -> str:
@@ -121,6 +123,7 @@ class VSchema:
         auto = body.get("auto_increment") or {}
         columns = {c["name"].lower(): c.get("type", "") for c in body.get("columns", [])}
         table = Table(ks.name, name, kind, found, columns, bool(body.get("column_list_authoritative")), (auto.get("column") or "").lower() or None, auto.get("sequence"), body.get("source"), int(body.get("buckets", 0)))
+        table.keys = [[c.lower() for c in key] for key in ([body["primary_key"]] if body.get("primary_key") else []) + list(body.get("unique_keys") or [])]
         if ks.sharded and kind == "normal" and table.primary is None:
             raise Invalid(f"table {name!r} in a sharded keyspace needs a unique vindex")
         return table
