@@ -6,17 +6,20 @@ estimated chance that they hold a near neighbour, until the chances that its
 tables have added up give the wanted recall. All tables' candidates are merged
 and ranked by exact distance in double precision.
 
+Queries are stored with the buckets they visit, in blocks of bounded size. Each
+task hashes its rows, reads block after block, and compares what has met: no
+vector is shuffled, and of a block of rows each query's nearest alone go on.
+
 The estimate is fitted on a bounded sample (``Settings.sample`` rows of
 smallest hash): how a near neighbour's projection follows from the query's.
-Every row is indexed. Rows of a bucket are packed by map task, so that a large
-bucket comes in bounded blocks, each its own row of the join.
+Every row is hashed, in every table.
 
-Vectors that are null, empty, zero, of another length than the first's, or
-hold null or non-finite components take no part, as rows or queries. Equal
+Vectors that are null, empty, zero, of another length than most (the smaller of
+two lengths as frequent), or hold null or non-finite components take no part, as rows or queries. Equal
 distances go to the smaller id; rows of equal ids and distances count once. A
-query's own row is no candidate, nor is any row with its id. Where
-fewer than ``k`` candidates were met, the query is held against all rows, in
-blocks. An empty table gives an empty result.
+query's own row is no candidate, nor is any row with its id. A query whose probes cannot
+reach the aim, or that met fewer than ``k`` candidates, is held against all rows
+in the same way. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +47,9 @@ class Settings:
     sample: int = 2000
     reach: int = 2  # cells to either side that probes may go, of each hash
     most_probes: int = 1024  # of a table; a query that needs more is held against all rows
-    rows_at_once: int = 512  # queries that are held against rows together
-    packed_rows: int = 50_000  # rows that a task packs together
+    queries_at_once: int = 512  # of a block
+    rows_at_once: int = 1 << 13  # that are held against a block of queries together
+    held_bytes: int = 64 << 20  # of vectors that a task holds while it reads the queries
     seed: int = 3
 
 
@@ -146,18 +152,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def best_rows(query_ids, queries, ids, vectors, k: int, limits: dict[int, float]) -> tuple[np.ndarray, ...]:
-    """Pairs (query id, id, distance) with the ``k`` nearest of the rows to each query among them.
+def best_rows(query_ids, queries, ids, vectors, met, k: int) -> tuple[np.ndarray, ...]:
+    """Triples (query id, id, distance) with the ``k`` nearest of the rows that each query has ``met`` (a matrix).
 
-    ``limits`` holds each query's k-th distance so far, squared; farther rows
-    are left out. Products find the pairs, differences give their distances.
+    Products find them, differences give their distances. Rows of equal ids are
+    no reason to leave out others: as many more are let through.
     """
     apart = (queries**2).sum(1)[:, None] + (vectors**2).sum(1) - 2 * queries @ vectors.T
-    apart[query_ids[:, None] == ids] = np.inf
-    limit = np.array([limits.get(q, np.inf) for q in query_ids.tolist()])
-    if len(ids) >= k:
-        limit = np.minimum(limit, np.partition(apart, k - 1, axis=1)[:, k - 1])
-        limits.update(zip(query_ids.tolist(), limit.tolist()))
+    apart[~met | (query_ids[:, None] == ids)] = np.inf
+    least = k + len(ids) - len(np.unique(ids))
+    limit = np.partition(apart, least - 1, axis=1)[:, least - 1] if len(ids) > least else np.full(len(queries), np.inf)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(limit), limit, 0)) + (queries**2).sum(1) + (vectors**2).sum(1).max())
     q, r = np.nonzero((apart <= (limit + slack)[:, None]) & (apart < np.inf))
     d = np.empty(len(q))
@@ -167,19 +171,120 @@ def best_rows(query_ids, queries, ids, vectors, k: int, limits: dict[int, float]
     return query_ids[q], ids[r], d
 
 
-def as_frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    names = ("query_id", "vec_id", "score")
-    return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) if parts else [] for i, n in enumerate(names)})
+def nearest(parts: list[tuple[np.ndarray, ...]], k: int) -> pa.RecordBatch:
+    """Of triples, each query's ``k`` nearest; equal ones once."""
+    q, r, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((r, d, q))
+    q, r, d = q[order], r[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (d[1:] != d[:-1])
+    q, r, d = q[new], r[new], d[new]
+    first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1)) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    kept = place < k
+    return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (q, r, d)], ["query_id", "vec_id", "score"])
 
 
-def matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column], dtype=np.float64)
+def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors of one length, of a batch."""
+    ids = batch.column("vec_id").to_numpy()
+    return ids, batch.column("v").flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
     """Each query's ``k`` best of distinct (query, row) pairs."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def visits(queries: DataFrame, hashes, settings: Settings, everything: bool) -> DataFrame:
+    """Queries in blocks: ``ids`` and ``data``, and the buckets they visit: ``table``, ``key`` and ``row`` of each, in the order of key.
+
+    ``whole`` marks queries that are held against all rows: those whose probes
+    cannot reach the aim, or (``everything``) all.
+    """
+
+    def block(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        h = hashes.value
+        keys, tables, rows, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(ids), bool)
+        for i, v in enumerate(vectors):
+            probes = None if everything else h.probes(v)
+            whole[i] = probes is None
+            for t, found in enumerate(probes or []):
+                keys.append(found)
+                tables.append(np.full(len(found), t))
+                rows.append(np.full(len(found), i))
+        key, table, row = (np.concatenate(x) for x in (keys, tables, rows))
+        order = np.lexsort((key, table))
+        values = (ids, vectors, table[order].astype(np.int16), key[order], row[order].astype(np.int32), whole)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], ["ids", "data", "table", "key", "row", "whole"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = rows_of(batch)
+            for start in range(0, len(ids), settings.queries_at_once):
+                part = slice(start, start + settings.queries_at_once)
+                yield block(ids[part], vectors[part])
+
+    return queries.mapInArrow(blocks, "ids binary, data binary, table binary, key binary, row binary, whole binary")
+
+
+def met_rows(asked: dict, keys: np.ndarray) -> np.ndarray:
+    """(queries, rows): whether a query visits one of the buckets of a row; ``keys`` has those, by table."""
+    met = np.repeat(np.frombuffer(asked["whole"], bool)[:, None], keys.shape[1], 1)
+    table, key, row = (np.frombuffer(asked[n], kind) for n, kind in (("table", np.int16), ("key", np.int64), ("row", np.int32)))
+    for t, own in enumerate(keys):
+        part = slice(*np.searchsorted(table, [t, t + 1]))
+        visited, who = key[part], row[part]
+        first, last = (np.searchsorted(visited, own, side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met[who[at], np.repeat(np.arange(len(own)), n)] = True
+    return met
+
+
+def read_blocks(files: list[str]) -> Iterator[dict]:
+    """The stored query blocks, one after the other, from the folder that all executors share."""
+    for name in files:
+        store, place = fs.FileSystem.from_uri(name)
+        with store.open_input_file(place) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+                yield batch.to_pylist()[0]
+
+
+def against(vectors: DataFrame, asked: DataFrame, hashes, k: int, settings: Settings) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score``: of each block of rows and block of queries, the ``k`` nearest of those met.
+
+    Vectors stay where they are read: the few queries come to them, block by block.
+    """
+    files = asked.inputFiles()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, held, n = hashes.value, [], 0
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            ids, data = (np.concatenate([x[i] for x in held]) for i in range(2))
+            keys = h.keys(h.cells(h.projected(data)))
+            for block in read_blocks(files):
+                query_ids = np.frombuffer(block["ids"], np.int64)
+                queries, out = np.frombuffer(block["data"], np.float64).reshape(len(query_ids), -1), []
+                for start in range(0, len(ids), settings.rows_at_once):
+                    part = slice(start, start + settings.rows_at_once)
+                    out.append(best_rows(query_ids, queries, ids[part], data[part], met_rows(block, keys[:, part]), k))
+                yield nearest(out, k)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(rows_of(batch))
+                n += held[-1][1].nbytes
+            if n >= settings.held_bytes:
+                yield from compared()
+                held.clear()
+                n = 0
+        if held:
+            yield from compared()
+
+    return vectors.mapInArrow(near, "query_id long, vec_id long, score double")
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 10, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -187,114 +292,25 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, settings: Settings =
     spark = rows.sparkSession
     configure(spark)
     vectors = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull()).where(usable(F.col("v")))
-    sample = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toPandas()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if len(sample) == 0:
-        return spark.createDataFrame([], empty)
-    size = len(sample["v"].iloc[0])
+    sizes = vectors.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, total = sizes[0]
     vectors = vectors.where(F.size("v") == size)
-    total = vectors.count()
-    sample = matrix(v for v in sample["v"] if len(v) == size)
+    sample = vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(settings.sample).toArrow()
+    sample = np.concatenate([rows_of(b)[1] for b in sample.to_batches()])
     hashes = spark.sparkContext.broadcast(fit(sample, total, k, settings))  # of fixed size
+    own, queries = vectors.select("vec_id", "v"), vectors.where(F.col("q")).select("vec_id", "v")
 
-    def packed(frame: pd.DataFrame, table: np.ndarray, key: np.ndarray, row: np.ndarray) -> pd.DataFrame:
-        """One row for each bucket in this batch, with its ids and vectors."""
-        ids, data = frame["vec_id"].to_numpy(np.int64), matrix(frame["v"])
-        order = np.lexsort((key, table))
-        table, key, row = table[order], key[order], row[order]
-        cuts = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0)) + 1
-        groups = np.split(row, cuts)
-        firsts = np.concatenate([[0], cuts])
-        return pd.DataFrame({"t": table[firsts].astype(np.int32), "key": key[firsts], "ids": [ids[g].tobytes() for g in groups], "data": [data[g].tobytes() for g in groups]})
-
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for frame in batches:
-            held.append(frame)
-            n += len(frame)
-            if n >= settings.packed_rows:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if n:
-            yield pd.concat(held, ignore_index=True)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = hashes.value
-        for frame in gathered(batches):
-            keys = h.keys(h.cells(h.projected(matrix(frame["v"]))))
-            t, n = keys.shape
-            yield packed(frame, np.repeat(np.arange(t), n), keys.ravel(), np.tile(np.arange(n), t))
+    def found(some: DataFrame, everything: bool) -> DataFrame:
+        asked, _ = stored(visits(some, hashes, settings, everything), "visits")
+        return stored(top(against(own, asked, hashes, k, settings), k).select("query_id", "rank", "vec_id", "score"), "neighbours")[0]
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = hashes.value
-        for frame in gathered(batches):
-            table, key, row = [], [], []
-            for i, v in enumerate(frame["v"]):
-                for t, keys in enumerate(h.probes(np.asarray(v, np.float64)) or []):
-                    table.append(np.full(len(keys), t))
-                    key.append(keys)
-                    row.append(np.full(len(keys), i))
-            if key:
-                yield packed(frame, np.concatenate(table), np.concatenate(key), np.concatenate(row))
-
-    def unpacked(ids: list[bytes], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = dict(zip(ids, data))
-        return np.frombuffer(b"".join(parts), np.int64), np.frombuffer(b"".join(parts.values()), np.float64).reshape(-1, size)
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limits: dict[int, float] = {}
-        best = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        for frame in batches:
-            out = []
-            # rows of a bucket come together: all its blocks and all its queries at once
-            for _, rows in frame.groupby(["t", "key"], sort=False):
-                own = unpacked(rows["ids"].tolist(), rows["data"].tolist())
-                asked = unpacked(rows["q_ids"].tolist(), rows["q_data"].tolist())
-                for a in range(0, len(asked[0]), settings.rows_at_once):
-                    for b in range(0, len(own[0]), 1 << 14):
-                        part, block = slice(a, a + settings.rows_at_once), slice(b, b + (1 << 14))
-                        out.append(best_rows(asked[0][part], asked[1][part], own[0][block], own[1][block], k, limits))
-            # each query's best so far, each row once
-            best = pd.concat([best, as_frame(out)]).drop_duplicates().sort_values(["query_id", "score", "vec_id"])
-            best = best.groupby("query_id").head(k)
-            if len(best) > settings.packed_rows * k:
-                yield best
-                best = best.iloc[:0]
-                limits.clear()
-        if len(best):
-            yield best
-
-    columns = "t int, key long, ids binary, data binary"
-    queries = vectors.where(F.col("q")).select("vec_id", "v")
-    blocks = vectors.select("vec_id", "v").mapInPandas(index, columns)
-    visits = queries.mapInPandas(visit, columns).select("t", "key", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    met = blocks.join(visits, ["t", "key"]).select("t", "key", "ids", "data", "q_ids", "q_data")
-    found = met.mapInPandas(near, "query_id long, vec_id long, score double").distinct()
-    best, _ = stored(top(found, k).select("query_id", "rank", "vec_id", "score"), "neighbours")
-
-    # queries that met too few rows, against all rows, so many queries at a time
-    wanted = min(k, max(total - 1, 0))
+    best = found(queries, False)
+    # queries that met too few rows, against all rows
+    wanted = min(k, total - 1)
     enough = best.groupBy("query_id").count().where(F.col("count") >= wanted).select(F.col("query_id").alias("vec_id"))
     short, _ = stored(queries.join(enough, "vec_id", "left_anti"), "short")
-    results = [best.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")]
-    after = None
-    while wanted:
-        left = short if after is None else short.where(F.col("vec_id") > after)
-        block = left.orderBy("vec_id").limit(settings.rows_at_once).toPandas()
-        if len(block) == 0:
-            break
-        after = int(block["vec_id"].max())
-        sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), matrix(block["v"])))
-
-        def against_all(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            limits: dict[int, float] = {}
-            for frame in batches:
-                if len(frame):
-                    yield as_frame([best_rows(*sent.value, frame["vec_id"].to_numpy(np.int64), matrix(frame["v"]), k, limits)])
-
-        rest = vectors.select("vec_id", "v").mapInPandas(against_all, "query_id long, vec_id long, score double").distinct()
-        results.append(top(rest, k).select("query_id", "rank", "vec_id", "score"))
-    out = results[0]
-    for r in results[1:]:
-        out = out.union(r)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if not short.isEmpty():
+        best = best.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").union(found(short, True))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
