@@ -258,9 +258,10 @@ def read_at_all_offsets(bits: Bits, codes: list[Code], width: int, height: int,
         return np.where(s < 4, s + 1, ((2 + (s & 1)).astype(np.int64) << extra) + more + 1), at + extra
 
     green, red, blue, alpha, distance = codes
-    where = np.arange(size + 1, dtype=np.int32)
-    green_key = ahead[: size + 1] & np.uint32((1 << green.bits) - 1)
-    after = np.minimum(where + green.length[green_key], size)
+    green_key = (ahead[: size + 1] & np.uint32((1 << green.bits) - 1)).astype(np.intp)
+    after = green.length.take(green_key).astype(np.intp)
+    after += np.arange(size + 1)
+    np.minimum(after, size, out=after)
     for code in (red, blue, alpha):
         if code.bits:
             after = np.minimum(after + look(code, after)[1], size)
@@ -281,38 +282,42 @@ def read_at_all_offsets(bits: Bits, codes: list[Code], width: int, height: int,
         backs = np.zeros(size + 1, np.int64)
         backs[copied] = back
 
+    # eight tokens at a time; beyond the last one the chain is cut again
+    two = after.take(after)
+    four = two.take(two)
+    eight = memoryview(four.take(four))
+    at, chain = start, []
+    for _ in range(-(-total // 8)):
+        chain.append(at)
+        if at == size:
+            break
+        at = eight[at]
+    chain = np.array(chain, np.intp)
+    for step in (four, two, after):
+        chain = np.stack([chain, step.take(chain)], -1)
+    chain = chain.ravel()
     if only_literals:
-        two = after[after]
-        four = two[two]
-        eight = memoryview(four[four])
-        at, chain = start, []
-        for _ in range(-(-total // 8)):
-            chain.append(at)
-            at = eight[at]
-        chain = np.array(chain, np.int32)
-        chain = np.stack([chain, four[chain]], 1)
-        chain = np.stack([chain, two[chain]], 2)
-        chain = np.stack([chain, after[chain]], 3).ravel()[:total]
-        end = int(after[chain[-1]])
+        if len(chain) < total:
+            raise ValueError("the image ends early")
+        chain = chain[:total]
     else:
-        step, take, at, got, chain = memoryview(after), memoryview(amount), start, 0, []
-        while got < total:
-            chain.append(at)
-            got += take[at]
-            if at == size:
-                raise ValueError("the image ends early")
-            at = step[at]
-        if got > total:
+        got = np.cumsum(amount[chain])
+        last = int(np.searchsorted(got, total))
+        if last == len(got):
+            raise ValueError("the image ends early")
+        if got[last] != total:
             raise ValueError("bad back-reference")
-        end, chain = at, np.array(chain, np.int32)
+        chain = chain[: last + 1]
+    end = int(after[chain[-1]])
     bits.at = 8 * first + end
     if bits.at > bits.end or end == size:
         raise ValueError("the image ends early")
 
-    values, at = green.symbol[green_key[chain]].astype(np.uint32), chain
+    own = green_key.take(chain)
+    values, at = green.symbol.take(own).astype(np.uint32), chain
     pixel = values << 8
-    if green.bits:
-        at = at + green.length[ahead[chain] & np.uint32((1 << green.bits) - 1)]
+    if green.bits and any(code.bits for code in (red, blue, alpha)):
+        at = at + green.length.take(own)
     for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
         if code.bits == 0:
             pixel |= np.uint32(int(code.symbol[0]) << shift)
@@ -328,8 +333,11 @@ def read_at_all_offsets(bits: Bits, codes: list[Code], width: int, height: int,
 def expand(values, pixel, amount, backs, width, total, cache_bits) -> np.ndarray:
     """Pixels from literals, back-references and colour cache indices."""
     starts = np.concatenate([[0], np.cumsum(amount)[:-1]])
-    out = np.zeros(total, np.uint32)
-    literal = values < 256
+    literal, cached = values < 256, values >= 256 + LENGTH_CODES
+    if len(starts) == total:
+        return from_cache(values, pixel, cached, cache_bits)
+    raw = bytearray(4 * total)
+    out = np.frombuffer(raw, np.uint32)
     out[starts[literal]] = pixel[literal]
     cache = np.zeros(1 << cache_bits, np.uint32)
     done = 0
@@ -341,19 +349,34 @@ def expand(values, pixel, amount, backs, width, total, cache_bits) -> np.ndarray
             cache[(new * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)] = new  # the last of equal places stays
         done = until
 
-    for i in np.flatnonzero(~literal).tolist():
-        at, v = int(starts[i]), int(values[i])
+    others = np.flatnonzero(~literal)
+    for at, v, back, n in zip(starts[others].tolist(), values[others].tolist(), backs[others].tolist(), amount[others].tolist()):
         if v >= 256 + LENGTH_CODES:
             remember(at)
             out[at] = cache[v - 256 - LENGTH_CODES]
             continue
-        back, n = plain_distance(int(backs[i]), width), int(amount[i])
+        back = plain_distance(back, width)
         if back > at:
             raise ValueError("bad back-reference")
+        at, back, n = 4 * at, 4 * back, 4 * n
         if back >= n:
-            out[at : at + n] = out[at - back : at - back + n]
+            raw[at : at + n] = raw[at - back : at - back + n]
         else:
-            out[at : at + n] = np.resize(out[at - back : at], n)
+            raw[at : at + n] = (raw[at - back : at] * (n // back + 1))[:n]
+    return out
+
+
+def from_cache(values, pixel, cached, cache_bits) -> np.ndarray:
+    """Pixels without back-references: an index stands for the last literal of its place, as it leaves the cache as it is."""
+    place = np.where(cached, values - (256 + LENGTH_CODES), (pixel * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    places, of_cache = place[order], cached[order]
+    first = np.diff(places.astype(np.int32), prepend=-1) != 0
+    # where the last literal is; at the start of a place there is none, and the cache holds 0
+    source = np.maximum.accumulate(np.where(~of_cache | first, np.arange(len(order)), 0))
+    found = np.where(of_cache[source], np.uint32(0), pixel[order[source]])
+    out = np.empty(len(order), np.uint32)
+    out[order] = found
     return out
 
 
@@ -604,90 +627,158 @@ def prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, v & ((1 << extra) - 1), extra
 
 
-def back_references(flat: np.ndarray, least: int = 3, longest: int = 4096) -> list[tuple[int, int, int]]:
-    """Greedy (start, length, distance) of repeats of earlier pixels."""
-    seen: dict[bytes, int] = {}
-    raw, out, at, total = flat.tobytes(), [], 0, len(flat)
-    while at + least <= total:
-        key = raw[4 * at : 4 * (at + least)]
-        was, seen[key] = seen.get(key), at
-        if was is None:
-            at += 1
-            continue
-        n = least
-        while n < longest and at + n < total and flat[was + n] == flat[at + n]:
-            n += 1
-        out.append((at, n, at - was))
-        at += n
+def back_references(flat: np.ndarray, least: int = 7, longest: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of repeats of earlier pixels, taken greedily.
+
+    For each place, the last place before it whose ``least`` pixels have the same 16 bits of hash counts, if they are
+    equal. Neighbours with the same distance make one longer repeat.
+    """
+    n, none = len(flat) - least + 1, (np.zeros(0, np.int64),) * 3
+    if n < 2:
+        return none
+    mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = mixed[:n].copy()
+    for k in range(1, least):
+        key = key * np.uint64(0xD6E8FEB86659FD93) + mixed[k : k + n]
+    slot = (key >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")  # by radix
+    before, now = order[:-1], order[1:]
+    same = key[before] == key[now]
+    distance = np.zeros(n, np.int64)
+    distance[now[same]] = (now - before)[same]
+    there = np.flatnonzero(distance)
+    if len(there) == 0:
+        return none
+    # runs of neighbours with one distance, and where the next repeat is
+    goes_on = (np.diff(there) == 1) & (distance[there[1:]] == distance[there[:-1]])
+    ends = np.append(np.flatnonzero(~goes_on), len(there) - 1)
+    end = memoryview(there[np.repeat(ends, np.diff(ends, prepend=-1))])
+    following = memoryview(np.searchsorted(there, np.arange(len(flat) + 1)))
+    places, starts, lengths = memoryview(there), [], []
+    i = 0
+    while i < len(places):
+        at = places[i]
+        size = min(end[i] - at + least, longest)
+        starts.append(at)
+        lengths.append(size)
+        i = following[at + size]
+    starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
+    # equal hashes of 64 bits are all but surely equal pixels; a repeat that is none after all is left out
+    back, at = distance[starts], np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+    wrong = np.add.reduceat(flat[at] != flat[at - np.repeat(back, lengths)], np.cumsum(lengths) - lengths) > 0
+    return starts[~wrong], lengths[~wrong], back[~wrong]
+
+
+def cache_hits(flat: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether the cache holds it there: every pixel enters, however it is coded."""
+    place = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    before, now = order[:-1], order[1:]
+    hits = np.zeros(len(flat), bool)
+    hits[now] = (place[before] == place[now]) & (flat[before] == flat[now])
+    return place, hits
+
+
+@dataclass
+class Tokens:
+    """How an image is coded: green symbols of all tokens, other channels of literals, lengths and distances of copies."""
+
+    starts: np.ndarray
+    green: np.ndarray
+    parts: np.ndarray  # channels of the first pixel
+    literal: np.ndarray
+    copied: np.ndarray
+    length: tuple[np.ndarray, np.ndarray, np.ndarray]
+    distance: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    @staticmethod
+    def of(flat: np.ndarray, cache_bits: int, copies: bool | tuple) -> Tokens:
+        at, lengths, back = (back_references(flat) if copies is True else copies) if copies else (np.zeros(0, np.int64),) * 3
+        starts = np.arange(len(flat))
+        if len(at):
+            inside = np.zeros(len(flat) + 1, np.int32)
+            np.add.at(inside, at + 1, 1)
+            np.add.at(inside, at + lengths, -1)
+            starts = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+        parts = channels(flat[starts]).astype(np.int64)
+        green, copied = parts[:, 1].copy(), np.zeros(len(starts), bool)
+        length = distance = (np.zeros(len(starts), np.int64),) * 3
+        if len(at):
+            rows = np.searchsorted(starts, at)
+            copied[rows] = True
+            length, distance = (spread(prefix_of(v), rows, len(starts)) for v in (lengths, back + len(NEAR)))
+            green[rows] = 256 + length[0][rows]
+        literal = ~copied
+        if cache_bits:
+            place, hits = cache_hits(flat, cache_bits)
+            cached = hits[starts] & literal
+            green[cached] = 256 + LENGTH_CODES + place[starts[cached]]
+            literal &= ~cached
+        return Tokens(starts, green, parts, literal, copied, length, distance)
+
+    def streams(self):
+        """(symbols, rows that have them) of the five codes."""
+        every = np.ones(len(self.starts), bool)
+        return (self.green, every), (self.parts[:, 2], self.literal), (self.parts[:, 0], self.literal), (self.parts[:, 3], self.literal), (self.distance[0], self.copied)
+
+
+def spread(columns: tuple[np.ndarray, ...], rows: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    out = tuple(np.zeros(size, np.int64) for _ in columns)
+    for whole, values in zip(out, columns):
+        whole[rows] = values
     return out
 
 
-def write_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False, tiles: np.ndarray | None = None, tile_bits: int = 2) -> None:
+def code_bits(counts: np.ndarray) -> float:
+    """About how many bits symbols that come so often take with their own code, and the code itself."""
+    used = counts[counts > 0].astype(float)
+    total = used.sum()
+    if len(used) < 2:
+        return 12.0
+    return float(total * np.log2(total) - (used * np.log2(used)).sum()) + 40 + 5.0 * len(used)
+
+
+def write_image(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool | tuple = False, tiles: np.ndarray | None = None, tile_bits: int = 2) -> None:
     flat = np.ascontiguousarray(pixels, np.uint32).ravel()
-    total, width = len(flat), pixels.shape[1]
+    width = pixels.shape[1]
     if not (cache_bits or copies or tiles is not None):
         write_literals(w, channels(flat), main)
         return
-    starts, amount = np.arange(total), np.ones(total, np.int64)
-    back = np.zeros(total, np.int64)
-    if copies:
-        drop = np.zeros(total, bool)
-        for at, n, d in back_references(flat):
-            amount[at], back[at] = n, d + len(NEAR)
-            drop[at + 1 : at + n] = True
-        starts = starts[~drop]
-        amount, back = amount[starts], back[starts]
-    value = flat[starts]
-    c = channels(value).astype(np.int64)
-    green = c[:, 1].copy()
-    literal = amount == 1
-    length = prefix_of(amount)
-    green[~literal] = 256 + length[0][~literal]
-    if cache_bits:
-        cache: dict[int, int] = {}
-        place = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).tolist()
-        colours, cached = flat.tolist(), np.zeros(len(starts), bool)
-        for i, (at, n) in enumerate(zip(starts.tolist(), amount.tolist())):
-            if n == 1 and cache.get(place[at]) == colours[at]:
-                green[i], cached[i] = 256 + LENGTH_CODES + place[at], True
-            for k in range(at, at + n):
-                cache[place[k]] = colours[k]
-        literal &= ~cached
-    distance = prefix_of(np.maximum(back, 1))
-    group = np.zeros(len(starts), np.int64)
-    if cache_bits:
-        w.puts([1, cache_bits], [1, 4])
-    else:
-        w.put(0, 1)
+    tokens = Tokens.of(flat, cache_bits, copies)
+    group = np.zeros(len(tokens.starts), np.int64)
+    w.puts(*(([1, cache_bits], [1, 4]) if cache_bits else ([0], [1])))
     if main:
         w.put(tiles is not None, 1)
         if tiles is not None:
             w.put(tile_bits - 2, 3)
             write_image(w, tiles.astype(np.uint32) << 8, False)
-            group = tiles[(starts // width) >> tile_bits, (starts % width) >> tile_bits].astype(np.int64)
+            group = tiles[(tokens.starts // width) >> tile_bits, (tokens.starts % width) >> tile_bits].astype(np.int64)
     alphabets = (256 + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    copied = amount > 1
-    symbols = (green, c[:, 2], c[:, 0], c[:, 3], distance[0])
-    there = (np.ones(len(starts), bool), literal, literal, literal, copied)
-    bits_of, size_of = [], []
-    for g in range(int(group.max()) + 1 if tiles is None else int(tiles.max()) + 1):
-        for s, mask, n in zip(symbols, there, alphabets):
-            own = s[mask & (group == g)] if tiles is not None or not mask.all() else s
-            lengths = huffman_lengths(np.bincount(own, minlength=n))
+    codes = []
+    for g in range(1 if tiles is None else int(tiles.max()) + 1):
+        own = group == g
+        for (symbols, rows), n in zip(tokens.streams(), alphabets):
+            lengths = huffman_lengths(np.bincount(symbols[rows & own], minlength=n))
             write_code(w, lengths)
-            code, size = code_tables(lengths)
-            bits_of.append(code)
-            size_of.append(size)
-    values, sizes = np.zeros((len(starts), 6), np.uint64), np.zeros((len(starts), 6), np.int64)
-    for g in range(len(bits_of) // 5):
-        at = group == g
-        for slot, k, mask in ((0, 0, there[0]), (2, 1, literal), (3, 2, literal), (4, 3, literal), (4, 4, copied)):
-            rows = np.flatnonzero(at & mask)
-            s = symbols[k][rows]
-            values[rows, slot], sizes[rows, slot] = bits_of[5 * g + k][s], size_of[5 * g + k][s]
-    for slot, (_, extra, n) in ((1, length), (5, distance)):
-        values[copied, slot], sizes[copied, slot] = extra[copied], n[copied]
-    w.puts(values.ravel(), sizes.ravel())
+            codes.append(code_tables(lengths))
+    # one number of at most 60 bits a token: its code, a literal's other codes, a copy's extra bits and distance
+    values, sizes = np.zeros(len(group), np.uint64), np.zeros(len(group), np.int64)
+
+    def add(rows: np.ndarray, value: np.ndarray, size: np.ndarray) -> None:
+        values[rows] |= value.astype(np.uint64) << sizes[rows].astype(np.uint64)
+        sizes[rows] += size
+
+    copied = np.flatnonzero(tokens.copied)
+    for k, (symbols, there) in enumerate(tokens.streams()):
+        for g in range(len(codes) // 5):
+            code, size = codes[5 * g + k]
+            if size.any():
+                rows = np.flatnonzero(there & (group == g))
+                add(rows, code[symbols[rows]], size[symbols[rows]])
+        if k in (0, 4) and len(copied):
+            _, extra, n = (tokens.length, tokens.distance)[k // 4]
+            add(copied, extra[copied], n[copied])
+    w.puts(values, sizes)
 
 
 def write_literals(w: Writer, parts: np.ndarray, main: bool) -> None:
@@ -715,7 +806,7 @@ class Choices:
     subtract_green: bool = False
     palette: np.ndarray | None = None
     cache_bits: int = 0
-    copies: bool = False
+    copies: bool | tuple = False  # or the repeats that were found
     groups: np.ndarray | None = None
     tile_bits: int = 2
     order: tuple[int, ...] = field(default=(PALETTE, PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN))
