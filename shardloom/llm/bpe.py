@@ -2,8 +2,9 @@
 
 ``encode_column`` gives the ids of whole texts as packed little-endian
 unsigned 32-bit integers (a null text has the ids of the empty text: none);
-``decode_column`` gives the raw bytes of such ids (null: null). Texts keep
-their rows, so ties, repeated rows and extra columns need no care; an empty
+``decode_column`` gives the raw bytes of such ids (null: null). Runs of white
+space that the library's pattern cannot match without overflowing its stack are
+matched here. Texts keep their rows, so ties, repeated rows and extra columns need no care; an empty
 table gives an empty result.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,11 @@ CHUNK = 100_000
 #: and a digit. No lookahead of the pattern reaches across either.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
+#: Longer runs of white space (the library's: U+001C to U+001F are none) are matched here.
+LONG_RUN = 100_000
+#: Signs of such a run that go to the library as one piece.
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 _ENCODINGS: dict[tuple[str, str], object] = {}
 
 
@@ -61,9 +68,30 @@ def split_safely(text: str, chunk: int = CHUNK) -> list[str]:
     return pieces
 
 
-def encode_text(enc, text: str, chunk: int = CHUNK) -> bytes:
+@lru_cache(maxsize=8)
+def long_runs(size: int) -> regex.Pattern:
+    return regex.compile(SPACES + "{" + str(size) + ",}+")
+
+
+def ids_of(enc, text: str, chunk: int = CHUNK, long_run: int = LONG_RUN) -> Iterator[list[int]]:
+    """Ids of a text, part by part.
+
+    Of a run of white space, the pattern takes all but the last sign as one
+    match, which goes on with what follows; at the end of the text it takes all.
+    """
+    start = 0
+    for run in long_runs(long_run).finditer(text) if len(text) >= long_run else ():
+        for piece in split_safely(text[start : run.start()], chunk):
+            yield enc.encode_ordinary(piece)
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        yield enc._encode_single_piece(text[run.start() : start].encode())
+    for piece in split_safely(text[start:], chunk):
+        yield enc.encode_ordinary(piece)
+
+
+def encode_text(enc, text: str, chunk: int = CHUNK, long_run: int = LONG_RUN) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers."""
-    ids = [np.array(enc.encode_ordinary(piece), dtype="<u4") for piece in split_safely(text, chunk)]
+    ids = [np.array(part, dtype="<u4") for part in ids_of(enc, text, chunk, long_run)]
     return (ids[0] if len(ids) == 1 else np.concatenate(ids)).tobytes()
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoding, split_safely
+from .bpe import encoding, ids_of
 from .common import configure, stored, text_of
 
 
@@ -60,7 +60,7 @@ def laid_out(packed: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarra
 
 
 def tokenized(texts: DataFrame, path: str, pattern: str, vocabulary: int, settings: Settings) -> DataFrame:
-    """``doc_id``, ``ids`` and the ``block`` of each row of (doc_id, text), stored."""
+    """``doc_id``, ``ids`` and the ``block`` of each row of (doc_id, text), stored. Ids of documents are texts: no number is rounded."""
     packed_as = packing(vocabulary)
     limit = packed_as.itemsize * settings.block_tokens
 
@@ -70,7 +70,7 @@ def tokenized(texts: DataFrame, path: str, pattern: str, vocabulary: int, settin
         for rows in batches:
             packed, blocks = [], []
             for text in rows["text"]:
-                ids = b"".join(np.array(enc.encode_ordinary(p), packed_as).tobytes() for p in split_safely(text))
+                ids = b"".join(np.array(p, packed_as).tobytes() for p in ids_of(enc, text))
                 if held and held + len(ids) > limit:
                     block, held = block + 1, 0
                 held += len(ids)
@@ -78,8 +78,7 @@ def tokenized(texts: DataFrame, path: str, pattern: str, vocabulary: int, settin
                 blocks.append(part << 32 | block)
             yield pd.DataFrame({"doc_id": rows["doc_id"], "block": blocks, "ids": packed})
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return stored(texts.mapInPandas(tokens, f"doc_id {kind}, block long, ids binary"), "ids")[0]
+    return stored(texts.mapInPandas(tokens, "doc_id string, block long, ids binary"), "ids")[0]
 
 
 def block_counts(tokens: DataFrame, vocabulary: int) -> DataFrame:
@@ -130,8 +129,8 @@ def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str,
     """
     spark = docs.sparkSession
     configure(spark)
-    tokens = tokenized(docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")), path, pattern, vocabulary, settings)
-    of_target = tokenized(target.select(F.lit(0).alias("doc_id"), text_of(target_text).alias("text")), path, pattern, vocabulary, settings)
+    tokens = tokenized(docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), text_of(text_col).alias("text")), path, pattern, vocabulary, settings)
+    of_target = tokenized(target.select(F.lit("").alias("doc_id"), text_of(target_text).alias("text")), path, pattern, vocabulary, settings)
     counts, target_counts = block_counts(tokens, vocabulary), block_counts(of_target, vocabulary)
     known = spark.sparkContext.broadcast((*unigram_counts(counts, vocabulary + 1), *unigram_counts(target_counts, vocabulary + 1)))
     sums = counts.groupBy("key").agg(F.sum("n").alias("background"))
@@ -139,7 +138,7 @@ def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str,
     sums = sums.join(targets, "key", "left").select("key", "background", F.coalesce("target", F.lit(0)).alias("target"))
     values = counts.select("block", "key").join(sums, "key")  # a block that two tasks had may have a bigram twice
     packed_as = packing(vocabulary)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
 
     def scores(rows: pd.DataFrame, known_counts: pd.DataFrame) -> pd.DataFrame:
         last, context, target_last, target_context = known.value
@@ -159,7 +158,7 @@ def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str,
             out[name] = means
         return pd.DataFrame(out)
 
-    scored = tokens.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(scores, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
+    scored = tokens.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(scores, "doc_id string, n_tokens long, target_loss double, background_loss double")
     empty = F.col("n_tokens") == 0
     losses = [F.when(~empty, F.col(c)).alias(c) for c in ("target_loss", "background_loss")]
-    return scored.select("doc_id", "n_tokens", *losses, F.when(empty, F.lit(0.0)).otherwise(F.col("target_loss") - F.col("background_loss")).alias("score"))
+    return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", *losses, F.when(empty, F.lit(0.0)).otherwise(F.col("target_loss") - F.col("background_loss")).alias("score"))
