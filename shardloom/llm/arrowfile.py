@@ -33,8 +33,8 @@ from .common import configure, fresh_path, stored, text_of
 
 LENGTH = 2048
 SEQUENCES = 64  # of a record batch
-#: Words whose ids a worker remembers; others are tokenized each time.
-REMEMBER = 700_000
+#: Words whose ids a worker remembers, and the longest of them; others are tokenized each time.
+REMEMBER, LONGEST = 700_000, 64
 DTYPE = np.dtype("<u2")
 MARKS = ".,;:!?"
 #: White space to Python's split, but not to a tokenizer's pattern.
@@ -97,8 +97,8 @@ class WordTokens:
         found.update(zip(todo, self.encode(todo)))
         parts = {p: found[c] + (self.marks[p[-1]] if len(c) < len(p) else b"") for p, c in cores.items()}
         if len(self.known) < REMEMBER:
-            self.known.update(found)
-            self.known.update(parts)
+            for new_ids in (found, parts):
+                self.known.update((part, v) for part, v in new_ids.items() if len(part) <= LONGEST)
         for i in new:
             ids[i] = parts[flat[i]]
         out, at = [], 0

@@ -26,8 +26,8 @@ from .common import configure, text_of
 #: Words of a text: runs of letters, marks and digits, and single other signs.
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]")
 
-#: Distinct chunks whose counts a worker remembers; beyond it they are counted again.
-REMEMBER = 400_000
+#: Distinct chunks whose counts a worker remembers, and the longest of them; others are counted again.
+REMEMBER, LONGEST = 400_000, 64
 
 
 class Automaton:
@@ -124,7 +124,7 @@ class Counts(dict):
     def __missing__(self, chunk: str) -> int:
         words = WORDS.findall(chunk)
         both = (len(words) << 32) + sum(self.machine.count(w.encode()) for w in words)
-        if len(self) < REMEMBER:
+        if len(self) < REMEMBER and len(chunk) <= LONGEST:
             self[chunk] = both
         return both
 

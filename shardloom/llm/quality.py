@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import configure, text_of
 from .toxicity import labelled_sample
 
-REMEMBER = 400_000
+#: Chunks that a worker remembers, and the longest of them.
+REMEMBER, LONGEST = 400_000, 64
 SHAPES = ((re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "w"), (re.compile(r"[^\W\d_]+"), "W"), (re.compile(r"\d+"), "9"))
 
 
@@ -50,7 +51,7 @@ def shape_of(word: str) -> str:
     """Runs of letters as w (any lower case) or W, digits as 9, signs as they are, once each."""
     for pattern, sign in SHAPES:
         word = pattern.sub(sign, word)
-    return re.sub(r"(.)\1+", r"\1", word)[:12]
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
 class Features(dict):
@@ -63,7 +64,7 @@ class Features(dict):
     def __missing__(self, chunk: str) -> int:
         word = zlib.crc32(chunk.lower().strip(".,;:!?").encode()) % self.half
         both = word << 32 | (self.half + zlib.crc32(shape_of(chunk).encode()) % self.half)
-        if len(self) < REMEMBER:
+        if len(self) < REMEMBER and len(chunk) <= LONGEST:
             self[chunk] = both
         return both
 
@@ -74,7 +75,7 @@ class Features(dict):
 @dataclass
 class Model:
     settings: Settings
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     thresholds: np.ndarray  # one fewer than grades, ascending
 
@@ -93,7 +94,7 @@ class Model:
         steps = np.diff(np.array(self.grades, float)) if self.grades else np.zeros(0)
         return (self.grades[0] if self.grades else 0) + self.tails(values) @ steps
 
-    def tail(self, values: np.ndarray, grade: int) -> np.ndarray:
+    def tail(self, values: np.ndarray, grade: float) -> np.ndarray:
         above = [k for k, g in enumerate(self.grades) if g >= grade]
         if not above:
             return np.zeros(len(values))
@@ -116,7 +117,7 @@ def sparse_row(packed: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]
 
 def train(docs: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, s: Settings) -> Model:
     """Adaptive gradient descent on the weighted log likelihood of the cumulative logits."""
-    kinds = sorted({int(g) for g in grades})
+    kinds = sorted({float(g) for g in grades})
     model = Model(s, kinds, np.zeros(s.buckets), np.zeros(max(0, len(kinds) - 1)))
     if len(kinds) < 2:
         return model
@@ -171,13 +172,14 @@ def train(docs: list[np.ndarray], grades: np.ndarray, row_weights: np.ndarray, s
 
 
 def fit(docs: DataFrame, ratings: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on documents (doc_id, text) by ``ratings`` (doc_id, grade); rows without a grade are left out."""
-    rows = ratings.where(F.col("grade").isNotNull())
+    """Train on documents (doc_id, text) by ``ratings`` (doc_id, grade); rows without a grade, or with one that is no number, are left out. Grades need not be whole."""
+    grade = F.col("grade").cast("double")
+    rows = ratings.withColumn("grade", grade).where(grade.isNotNull() & ~F.isnan(grade))
     sample, totals = labelled_sample(docs, rows, "grade", ["text"], settings.per_grade)
     ids = Features(settings.buckets)
-    grades = sample["grade"].to_numpy(dtype=np.int64)
+    grades = sample["grade"].to_numpy(dtype=float)
     taken = {v: max(1, int((grades == v).sum())) for v in totals}
-    return train([ids.of(t or "") for t in sample["text"]], grades, np.array([totals[int(g)] / taken[int(g)] for g in grades], float), settings)
+    return train([ids.of(t or "") for t in sample["text"]], grades, np.array([totals[float(g)] / taken[float(g)] for g in grades], float), settings)
 
 
 def value_column(spark: SparkSession, text: Column, model: Model) -> Column:
@@ -194,7 +196,7 @@ def value_column(spark: SparkSession, text: Column, model: Model) -> Column:
     return value(text)
 
 
-def tail_column(value: Column, model: Model, grade: int) -> Column:
+def tail_column(value: Column, model: Model, grade: float) -> Column:
     """Probability that a text of this value reaches the grade."""
     above = [k for k, g in enumerate(model.grades) if g >= grade]
     if not above or above[0] == 0:
@@ -209,7 +211,7 @@ def expected_column(value: Column, model: Model) -> Column:
     return total
 
 
-def rate_documents(docs: DataFrame, model: Model, grade: int, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rate_documents(docs: DataFrame, model: Model, grade: float, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``expected_grade``, ``tail`` (probability of ``grade`` or more) and ``selected`` (tail of at least ``least``)."""
     configure(docs.sparkSession)
     valued = docs.select(F.col(f"`{id_col}`").alias("doc_id"), value_column(docs.sparkSession, text_of(text_col), model).alias("value"))
