@@ -6,7 +6,8 @@ shingles is ``LEAST`` or more, or their SimHashes differ in few bits (see
 for all texts, common ones last, and of two texts as similar as that, the first
 fifth of one's shingles meets the first fifth of the other's. Pairs that meet
 are held against each other by parities of their shingles, which show a least
-count of those that they do not share, and then by their whole sets.
+count of those that they do not share (256 of them as part of the join, as many
+as shingles after it), and then by their whole sets.
 
 The smaller of two such sets needs only its first ninth: shingles that no set
 has so early lead to no pair, however many texts hold them.
@@ -34,10 +35,12 @@ WORDS = 5
 #: Least similarity, as a ratio of whole numbers.
 LEAST = (4, 5)
 #: Texts whose shingles are counted for the order, and shingles that it knows to be common; any order gives the same links.
-SAMPLE = 64_000
+SAMPLE = 40_000
 COMMON = 400_000
 #: Neighbours to either side that a text is held against before all others.
 AROUND = 3
+#: Columns of a sketch: 256 parities, 64 in each.
+SKETCH = ("k0", "k1", "k2", "k3")
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -68,6 +71,12 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """As ``parities``, but always of 256 parts: two sketches differ in no more bits than the sets do in shingles."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_apart(x: bytes, y: bytes) -> int:
     """Shingles that just one of two sets has, at least: each changes one parity. The longer is folded."""
     x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -130,7 +139,7 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, chosen: DataFra
 def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """Pairs of ``similar`` that connect whatever similar sets connect.
 
-    ``sets``: ``key``, ``size``, ``odd`` and ``prefix`` of each distinct set; ``texts``: the
+    ``sets``: ``key``, ``size``, ``odd``, ``prefix`` and sketch of each distinct set; ``texts``: the
     rows by ``__row``; ``chosen``: a row of each set.
     """
     top, bottom = LEAST
@@ -162,13 +171,15 @@ def similar_sets(sets: DataFrame, texts: DataFrame, chosen: DataFrame, words: in
     roots = components(first.select("a", "b")).withColumnRenamed("node", "key")
     rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = rooted.withColumns({"low": F.min("root").over(met), "high": F.max("root").over(met)}).where("low <> high").drop("low", "high")
-    open_, _ = stored(open_, "open")
+    open_, _ = stored(open_.join(sets.select("key", *SKETCH).hint("merge"), "key"), "open")
     p, q = open_.hint("merge").alias("p"), open_.where(early).hint("merge").alias("q")
     smaller = F.struct("q.size", "q.key") < F.struct("p.size", "p.key")
     apart = (F.col("p.s") == F.col("q.s")) & (F.col("p.root") != F.col("q.root")) & smaller
     swapped = F.col("p.key") > F.col("q.key")
     roots = [F.when(swapped, F.col(f"{y}.root")).otherwise(F.col(f"{x}.root")).alias(n) for x, y, n in (("p", "q", "ra"), ("q", "p", "rb"))]
-    others = p.join(q, apart & possible("p", "q")).select(*ordered("p", "q"), *roots).distinct().join(tried, ["a", "b"], "left_anti")
+    bits = sum((F.bit_count(F.col(f"p.{k}").bitwiseXOR(F.col(f"q.{k}"))) for k in SKETCH), F.lit(0))
+    alike = bits * (top + bottom) <= (F.col("p.size") + F.col("q.size")) * (bottom - top)
+    others = p.join(q, apart & possible("p", "q") & alike).select(*ordered("p", "q"), *roots).distinct().join(tried, ["a", "b"], "left_anti")
     others, _ = stored(others, "others")
     # one pair of each two components connects them
     more = similar(others, sets, texts, chosen, words).groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b", "fa", "fb"), "a").alias("x")).select("x.*")
@@ -181,25 +192,25 @@ def without_near_copies(docs: DataFrame, bits: int = 3, bit_words: int = 3, word
     text = text_of(text_col)
     common, counts = common_shingles(docs.select(text.alias("text")), words)
 
-    @F.pandas_udf("fp long, key long, size int, odd binary, prefix array<long>")
+    @F.pandas_udf("fp long, key long, size int, odd binary, prefix array<long>, k0 long, k1 long, k2 long, k3 long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 found = shingles(t, words)
-                rows.append((fingerprint(t, bit_words), xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), parities(found), prefix(found, common, counts).view(np.int64)))
-            fp, key, size, odd, first = zip(*rows) if rows else ((), (), (), (), ())
-            yield pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "key": np.array(key, np.uint64).view(np.int64), "size": np.array(size, np.int32), "odd": pd.Series(odd, dtype=object), "prefix": pd.Series(first, dtype=object)})
+                rows.append((fingerprint(t, bit_words), xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), parities(found), prefix(found, common, counts).view(np.int64), *sketch(found).tolist()))
+            fp, key, size, odd, first, *bits = zip(*rows) if rows else ((),) * 9
+            yield pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "key": np.array(key, np.uint64).view(np.int64), "size": np.array(size, np.int32), "odd": pd.Series(odd, dtype=object), "prefix": pd.Series(first, dtype=object)} | {k: np.array(b, np.int64) for k, b in zip(SKETCH, bits)})
 
     numbered, _ = stored(docs.withColumns({"__row": F.monotonically_increasing_id(), "__p": prints(text)}), "numbered")
-    slim = numbered.select(F.col(f"`{id_col}`").alias("doc_id"), "__row", "__p.fp", "__p.key", "__p.size", "__p.odd", "__p.prefix")
+    slim = numbered.select(F.col(f"`{id_col}`").alias("doc_id"), "__row", "__p.fp", "__p.key", "__p.size", "__p.odd", "__p.prefix", *[f"__p.{k}" for k in SKETCH])
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
     best, _ = stored(slim.groupBy("fp").agg(F.min(order).alias("best")), "best")
 
     # one row of each set stands for it; its prints are one component anyway
     chosen, _ = stored(slim.groupBy("key").agg(F.min("__row").alias("__row"), F.min("fp").alias("low"), F.max("fp").alias("high")), "chosen")
     several = slim.join(chosen.where("low <> high").select("key", "low"), "key").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    ones, _ = stored(slim.join(chosen.select("__row"), "__row", "left_semi").select("key", "size", "odd", "prefix"), "ones")
+    ones, _ = stored(slim.join(chosen.select("__row"), "__row", "left_semi").select("key", "size", "odd", "prefix", *SKETCH), "ones")
     texts = numbered.select("__row", "__p.key", "__p.fp", text.alias("text"))
     pairs = similar_sets(ones, texts, chosen.select("key", "__row"), words).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
