@@ -120,7 +120,14 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` and the ``decoded`` bytes of each document."""
+    """``doc_id``, ``ids`` and the ``decoded`` bytes of each document; one worker does both."""
     configure(docs.sparkSession)
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), encode_column(text_of(text_col), path, pattern).alias("ids"))
-    return ids.select("doc_id", "ids", decode_column(F.col("ids"), path, pattern).alias("decoded"))
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        enc = encoding(path, pattern)
+        for texts in batches:
+            ids = [encode_text(enc, t) for t in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([decode_ids(enc, p) for p in ids], dtype=object)})
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), both(text_of(text_col)).alias("b")).select("doc_id", "b.ids", "b.decoded")
