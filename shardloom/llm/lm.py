@@ -2,20 +2,29 @@
 
 Both models are bigram models over the tokens of one public tokenizer, with
 the same vocabulary and smoothing: a bigram's estimate is drawn to the unigram
-estimate by ``Settings.drawn`` pseudo-counts, a unigram's to the even one by
+estimate by a number of pseudo-counts, a unigram's to the even one by
 ``Settings.even``. The background counts all documents, the target counts its
 own texts. A document's score is its mean loss per token under the target less
 that under the background: lower is nearer to the target.
 
+The target never saw the document, so the background must not have either: a
+document's own counts are left out of the background when it is scored. A text
+that stands alone is then new to both models, and one with copies elsewhere is
+told by them. The pseudo-counts are those of ``Settings.drawn`` under which the
+background's tokens, each left out in turn, are likeliest; the sum is over the
+counts of all documents.
+
 Documents are tokenized once and stored in blocks of about
 ``Settings.block_tokens``. Each block's distinct bigrams are counted, summed
 over all blocks, and the sums go back to the blocks that have the bigram; so a
 frequent bigram costs a row in each block, not in each document. Unigram
 counts go through the driver; there are as many as the vocabulary has tokens.
+A block's texts are scored ``Settings.slice_tokens`` tokens at a time.
 
 A null text is the empty text. A text without tokens has null losses and score
-0. Each row gets its own score: repeated rows repeat (and count as often), an
-empty table gives an empty result, an empty target is the even model.
+0. Each row gets its own score: repeated rows repeat, count as often and are
+copies of each other; an empty table gives an empty result, an empty target is
+the even model.
 """
 
 from __future__ import annotations
@@ -35,9 +44,10 @@ from .common import configure, stored, text_of
 
 @dataclass(frozen=True)
 class Settings:
-    drawn: float = 50.0
+    drawn: tuple[float, ...] = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)
     even: float = 0.5
     block_tokens: int = 4_000_000
+    slice_tokens: int = 250_000
 
 
 def bigrams(ids: np.ndarray, starts: np.ndarray, start_token: int) -> np.ndarray:
@@ -114,12 +124,47 @@ def unigram_counts(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
     return last, context
 
 
-def loss(keys: np.ndarray, n: np.ndarray, last: np.ndarray, context: np.ndarray, s: Settings) -> np.ndarray:
-    """-log P(token | context) of bigrams that come ``n`` times."""
-    token, before = keys & 0xFFFFFFFF, keys >> 32
-    size = len(last) - 1  # the start is no token
-    single = (last[token] + s.even) / (last.sum() + s.even * size)
-    return -np.log((n + s.drawn * single) / (context[before] + s.drawn))
+def split_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and token of a bigram."""
+    return keys >> 32, keys & 0xFFFFFFFF
+
+
+def loss(n: np.ndarray, context: np.ndarray, last: np.ndarray, total: np.ndarray, size: int, drawn: float, even: float) -> np.ndarray:
+    """-log P(token | context) of a bigram that comes ``n`` times, its context ``context``, its token ``last`` of ``total`` times."""
+    return -np.log((n + drawn * (last + even) / (total + even * size)) / (context + drawn))
+
+
+def own_counts(text: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """For each token, how many tokens of its text have the same ``what``."""
+    _, at, times = np.unique(text << 32 | what, return_inverse=True, return_counts=True)
+    return times[at]
+
+
+def slices(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of texts of about ``most`` tokens."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // most)) + 1
+    bounds = [0, *cuts.tolist(), len(n)]
+    return (slice(a, b) for a, b in zip(bounds, bounds[1:]))
+
+
+def likeliest(sums: DataFrame, known, size: int, s: Settings) -> float:
+    """The candidate under which the background's tokens, each without itself, lose least; the smallest on ties."""
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, context = known.value[:2]
+        total, lost = last.sum(), np.zeros(len(s.drawn))
+        for rows in batches:
+            before, token = split_key(rows["key"].to_numpy(np.int64))
+            n = rows["background"].to_numpy(np.float64)
+            for k, drawn in enumerate(s.drawn):
+                lost[k] += (n * loss(n - 1, context[before] - 1, last[token] - 1, total - 1, size, drawn, s.even)).sum()
+        yield pd.DataFrame({"drawn": np.array(s.drawn, np.float64), "lost": lost})
+
+    if len(s.drawn) == 1:
+        return s.drawn[0]
+    found = sums.select("key", "background").mapInPandas(losses, "drawn double, lost double").groupBy("drawn").agg(F.sum("lost").alias("lost"))
+    best = found.orderBy(F.round("lost", 3), "drawn").limit(1).collect()
+    return best[0]["drawn"] if best else s.drawn[0]
 
 
 def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str, vocabulary: int, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
@@ -135,27 +180,43 @@ def score_documents(docs: DataFrame, target: DataFrame, path: str, pattern: str,
     known = spark.sparkContext.broadcast((*unigram_counts(counts, vocabulary + 1), *unigram_counts(target_counts, vocabulary + 1)))
     sums = counts.groupBy("key").agg(F.sum("n").alias("background"))
     targets = target_counts.groupBy("key").agg(F.sum("n").alias("target"))
-    sums = sums.join(targets, "key", "left").select("key", "background", F.coalesce("target", F.lit(0)).alias("target"))
+    sums, _ = stored(sums.join(targets, "key", "left").select("key", "background", F.coalesce("target", F.lit(0)).alias("target")), "sums")
+    drawn = likeliest(sums, known, vocabulary, settings)
     values = counts.select("block", "key").join(sums, "key")  # a block that two tasks had may have a bigram twice
     packed_as = packing(vocabulary)
     kind = docs.schema[id_col].dataType
 
     def scores(rows: pd.DataFrame, known_counts: pd.DataFrame) -> pd.DataFrame:
         last, context, target_last, target_context = known.value
+        total, target_total = last.sum(), target_last.sum()
         ids, starts, n = laid_out(rows["ids"].tolist(), packed_as)
         keys, order = np.unique(known_counts["key"].to_numpy(), return_index=True)
-        both = [
-            loss(keys, known_counts[c].to_numpy(np.float64)[order], *of, settings)
-            for c, of in (("target", (target_last, target_context)), ("background", (last, context)))
-        ]
-        at = np.searchsorted(keys, bigrams(ids, starts[n > 0], vocabulary))
-        there = n > 0
-        out = {"doc_id": rows["doc_id"], "n_tokens": n}
-        for name, values_of in zip(("target_loss", "background_loss"), both):
-            means = np.full(len(n), np.nan)
-            if there.any():
-                means[there] = np.add.reduceat(values_of[at], starts[there]) / n[there]
-            out[name] = means
+        background = known_counts["background"].to_numpy(np.float64)[order]
+        before, token = split_key(keys)
+        of_target = loss(known_counts["target"].to_numpy(np.float64)[order], target_context[before], target_last[token], target_total, vocabulary, drawn, settings.even)
+        all_bigrams = bigrams(ids, starts[n > 0], vocabulary)
+        means = {"target_loss": np.full(len(n), np.nan), "background_loss": np.full(len(n), np.nan)}
+        for some in slices(n, settings.slice_tokens):
+            there = np.flatnonzero(n[some]) + some.start
+            if not len(there):
+                continue
+            here = all_bigrams[starts[there[0]] : starts[there[-1]] + n[there[-1]]]
+            at = np.searchsorted(keys, here)
+            text = np.repeat(np.arange(len(there)), n[there])
+            before, token = split_key(here)
+            others = loss(
+                background[at] - own_counts(text, at),
+                context[before] - own_counts(text, before),
+                last[token] - own_counts(text, token),
+                total - n[there][text],
+                vocabulary,
+                drawn,
+                settings.even,
+            )
+            first = starts[there] - starts[there[0]]
+            for name, lost in (("target_loss", of_target[at]), ("background_loss", others)):
+                means[name][there] = np.add.reduceat(lost, first) / n[there]
+        out = {"doc_id": rows["doc_id"], "n_tokens": n, **means}
         return pd.DataFrame(out)
 
     scored = tokens.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(scores, "doc_id string, n_tokens long, target_loss double, background_loss double")

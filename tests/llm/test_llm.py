@@ -257,7 +257,7 @@ def test_sequences(tmp_path):
 
 
 def test_cross_entropy_difference(spark, odd, none):
-    s = lm.Settings(block_tokens=40)
+    s = lm.Settings(block_tokens=40, slice_tokens=30)
     target = spark.createDataFrame([("the quick fox",), (None,), ("lazy dog the quick",)], "text string")
     docs = odd.where("length(coalesce(text, '')) < 1000")
     enc = bpe.encoding(MULTI, split_pattern())
@@ -267,13 +267,14 @@ def test_cross_entropy_difference(spark, odd, none):
         ids = [enc.encode_ordinary(t or "") for t in texts]
         return Counter(b for e in ids for b in zip([size, *e], e))
 
-    models = [grams(r.text for r in target.collect()), grams(r.text for r in docs.collect())]
+    of_target, of_docs = grams(r.text for r in target.collect()), grams(r.text for r in docs.collect())
 
-    def loss(model, b):
+    def loss(model, b, drawn):
         last, context = sum(n for (_, w), n in model.items() if w == b[1]), sum(n for (v, _), n in model.items() if v == b[0])
         single = (last + s.even) / (sum(model.values()) + s.even * size)
-        return -math.log((model[b] + s.drawn * single) / (context + s.drawn))
+        return -math.log((model[b] + drawn * single) / (context + drawn))
 
+    drawn = min(s.drawn, key=lambda d: sum(n * loss(of_docs - Counter([b]), b, d) for b, n in of_docs.items()))
     got = lm.score_documents(docs, target, MULTI, split_pattern(), size, s).collect()
     assert len(got) == docs.count()
     for r in got:
@@ -282,11 +283,29 @@ def test_cross_entropy_difference(spark, odd, none):
         if not ids:
             assert r.target_loss is None and r.score == 0
             continue
-        means = [np.mean([loss(m, b) for b in zip([size, *ids], ids)]) for m in models]
+        of_others = of_docs - grams([enc.decode(ids)])
+        means = [np.mean([loss(m, b, drawn) for b in zip([size, *ids], ids)]) for m in (of_target, of_others)]
         assert (r.target_loss, r.background_loss) == pytest.approx(tuple(means)) and r.score == pytest.approx(means[0] - means[1])
     assert lm.score_documents(none, target, MULTI, split_pattern(), size, s).count() == 0
 
 
+def test_texts_with_copies_are_told_from_texts_without(spark):
+    """However the rows lie in blocks and slices."""
+    rng = np.random.default_rng(5)
+    enc = bpe.encoding(MULTI, split_pattern())
+    words = [w for w in (enc.decode([k]) for k in range(5_000, 9_000)) if w[0] == " " and w[1:].isalpha()][:400]  # one token each
+    texts = ["".join(rng.choice(words, 60)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:8])), "doc_id long, text string")
+    target = spark.createDataFrame([("".join(words),)], "text string")
+    found = []
+    for s in (lm.Settings(), lm.Settings(block_tokens=500, slice_tokens=200)):
+        got = {r.doc_id: r.background_loss for r in lm.score_documents(docs, target, MULTI, split_pattern(), 50_256, s).collect()}
+        twice = [v for k, v in got.items() if k < 8 or k >= 80]
+        assert len(got) == 88 and max(twice) < min(v for k, v in got.items() if 8 <= k < 80)
+        found.append([got[k] for k in sorted(got)])
+    assert found[0] == pytest.approx(found[1])
+
+
 # 2: nearest neighbours
 
 
