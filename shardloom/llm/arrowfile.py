@@ -14,6 +14,7 @@ file and an empty result.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import uuid
 import zlib
@@ -54,6 +55,8 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        # a task has a core of its own: threads of the library's would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
