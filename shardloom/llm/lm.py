@@ -8,9 +8,9 @@ own texts. A document's score is its mean loss per token under the target less
 that under the background: lower is nearer to the target.
 
 The target never saw the document, so the background must not have either: a
-document's own counts are left out of the background when it is scored. A text
-that stands alone is then new to both models, and one with copies elsewhere is
-told by them. The pseudo-counts are those of ``Settings.drawn`` under which the
+document's own counts are left out of the background when it is scored; its
+copies elsewhere count. Where most bigrams are frequent in the corpus, copies
+change a loss little. The pseudo-counts are those of ``Settings.drawn`` under which the
 background's tokens, each left out in turn, are likeliest; the sum is over the
 counts of all documents.
 
