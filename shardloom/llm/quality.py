@@ -32,7 +32,9 @@ from .toxicity import labelled_sample
 
 #: Chunks that a worker remembers, and the longest of them.
 REMEMBER, LONGEST = 400_000, 64
-SHAPES = ((re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "w"), (re.compile(r"[^\W\d_]+"), "W"), (re.compile(r"\d+"), "9"))
+#: A run of letters is looked at once, however long; the sign is among the lower case by its code.
+RUN, LOWER = re.compile(r"(?:[^\W\d_]|÷)+"), re.compile(r"[a-zß-ÿ]")
+SHAPES = ((RUN, lambda run: "w" if LOWER.search(run[0]) else run[0]), (re.compile(r"[^\W\d_]+"), "W"), (re.compile(r"\d+"), "9"))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -221,6 +223,18 @@ def test_grades_need_not_be_whole(spark):
     assert model.grades == [1.5, 2.5] and got[1].selected and not got[0].selected and 1.5 <= got[0].expected_grade <= 2 <= got[1].expected_grade <= 2.5
 
 
+def test_shapes_of_long_chunks_take_one_pass():
+    slow = re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*")  # goes back over a run from each of its places
+    r = random.Random(2)
+    for _ in range(3000):
+        chunk = "".join(r.choice("aBz÷ßÿÉ漢9٣_-.$éÀ×ı") for _ in range(r.randint(1, 9)))
+        want = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "W", slow.sub("w", chunk)))
+        assert quality.shape_of(chunk) == re.sub(r"(.)\1+", r"\1", want)
+    began = time.process_time()
+    assert {quality.shape_of(x * 20_000) for x in ("A", "漢", "÷", "a")} == {"W"} and quality.shape_of("A9" * 20_000) == "W9" * 20_000
+    assert time.process_time() - began < 4
+
+
 # 3: media
 
 
