@@ -177,6 +177,27 @@ def test_samples_do_not_depend_on_luck(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == 20 and {r["label"] for r in got[0] if r["doc_id"] % 2 == 0} == {0}
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """Of 2,800 rows of label 1, the 2,500 whose ids have the smallest hashes have one word, the others another."""
+    r = random.Random(6)
+    ids = spark.range(6000).selectExpr("id", "xxhash64(cast(id as string), 'sample') as h").collect()
+    ones = [x.id for x in sorted(ids, key=lambda x: x.h) if x.id < 2800]
+    marked = dict.fromkeys(ones[:2500], "foul") | dict.fromkeys(ones[2500:], "vile")
+    rows = []
+    for i in range(6000):
+        words = [r.choice("alpha beta gamma delta omega sigma".split()) for _ in range(8)]
+        rows.append((i, " ".join(words + ([marked[i]] if i in marked else [])), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "int(doc_id < 2800) as label")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2000)
+    model = toxicity.fit(df, labels)
+    scored = {x.doc_id: x.predicted for x in toxicity.score_documents(df, model).collect()}
+    assert np.mean([scored[i] for i in ones[2500:]]) > 0.95 and np.mean([scored[i] for i in ones[:2500]]) > 0.95
+    assert np.mean([scored[i] for i in range(2800, 6000)]) < 0.02
+    again = toxicity.fit(df.repartition(7), labels.repartition(3))
+    assert (again.parameters() == model.parameters()).all() and (again.scale, again.thresholds) == (model.scale, model.thresholds)
+
+
 # 6: ordinal regression
 
 
