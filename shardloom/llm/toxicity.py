@@ -38,7 +38,7 @@ LETTERS = 8_000_000
 #: Different labels or grades of one sample.
 MOST_LABELS = 1_000
 #: Labelled rows, and bytes of text, of a shard, about.
-SHARD_ROWS, SHARD_BYTES = 8192, 32 << 20
+SHARD_ROWS, SHARD_BYTES = 4096, 16 << 20
 #: Parameters are summed as whole numbers of this fraction; logits are counted in steps of the other, up to MOST_LOGIT either way.
 FRACTION, STEPS, MOST_LOGIT = 1 << 22, 1024, 30
 #: Numbers of a row in which tasks return their sums.
