@@ -42,7 +42,7 @@ SHARD_ROWS, SHARD_BYTES = 4096, 16 << 20
 #: Parameters are summed as whole numbers of this fraction; logits are counted in steps of the other, up to MOST_LOGIT either way.
 FRACTION, STEPS, MOST_LOGIT = 1 << 22, 1024, 30
 #: Numbers of a row in which tasks return their sums.
-PART = 1 << 16
+PART = 1 << 13
 #: Bits of the filter that leaves out most documents without a label before the join.
 FILTER_BITS = 1 << 24
 #: Thresholds tried.
