@@ -134,7 +134,8 @@ class Writer:
         placed = self.placed(table, rows)
         known = self.engine.store.tables.get(table.full_name)
         new = Stored(rows.schema.json(), buckets=table.buckets, indexes=dict(known.indexes) if known else {}, keys=known.keys if known and known.keys else table.keys)
-        folders = self.engine.store.write(table.full_name, self.checked(placed), new)
+        ks = self.engine.vschema.keyspace(table.keyspace)
+        folders = self.engine.store.write(table.full_name, self.checked(placed), new, len(ks.shards) if ks.sharded else 1)
         new = new.of_folders(folders)
         self.engine.stage({table.full_name: new}, {(table.keyspace, s) for s in folders})
 

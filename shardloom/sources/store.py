@@ -20,6 +20,7 @@ import hashlib
 import json
 import uuid
 from collections import OrderedDict
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 from functools import lru_cache
 
@@ -33,6 +34,8 @@ from ..errors import Conflict, NotFound
 SHARD, KSID = "__shard", "__ksid"
 #: Parts of a shard that are written apart, so that few shards still make many tasks.
 PARTS = 8
+#: Shards up to which a task writes all of its rows where they are, with a file open for each shard.
+OPEN_FILES = 16
 #: Tables and parts of them whose plans are kept: their files are listed once.
 REMEMBER = 256
 
@@ -197,8 +200,24 @@ class Store:
             self._complete.add(name)
         return self.spark.table(name)
 
-    def write(self, name: str, rows: DataFrame, like: Stored | None = None) -> dict[str, str]:
-        """Write rows that have a ``__shard`` column, laid out as ``like``; the new folder of each shard that has any."""
+    @contextmanager
+    def set_to(self, key: str, value: str):
+        """A setting of the session meanwhile."""
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, before)
+
+    def write(self, name: str, rows: DataFrame, like: Stored | None = None, shards: int | None = None) -> dict[str, str]:
+        """Write rows that have a ``__shard`` column, laid out as ``like``; the new folder of each shard that has any.
+
+        Where so few ``shards`` are said to come that each task can hold a file of each open, no row is moved or sorted.
+        """
         buckets, order = (like.buckets, like.order) if like else (None, [])
         folder = f"{self.root}/{name.replace('.', '/')}/{uuid.uuid4().hex}"
         if buckets:
@@ -207,6 +226,9 @@ class Store:
             dealt = rows.repartition(number, *[F.col(f"`{c}`") for c in columns])  # as buckets are: one file of each
             dealt.write.format("parquet").partitionBy(SHARD).bucketBy(number, *columns).sortBy(*(order or columns)).option("path", folder).saveAsTable(aside)
             self.spark.sql(f"DROP TABLE {aside}")  # the files stay
+        elif not order and shards is not None and shards <= OPEN_FILES:
+            with self.set_to("spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+                rows.write.partitionBy(SHARD).parquet(folder)
         else:
             # not a file for each shard and task: rows meet by shard and part, and what is large is split by size
             hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))]

@@ -591,6 +591,23 @@ def test_collocated_join_of_buckets_has_no_exchange(spark, make, shards):
     assert sorted(rows(e, JOINED)) == sorted(rows(other, JOINED))
 
 
+@pytest.mark.parametrize("shards", [1, 4, 40])
+def test_a_load_into_few_shards_moves_no_rows(spark, make, shards):
+    e = make(shards)
+    spark.sparkContext.setJobGroup(f"load {shards}", "")
+    try:
+        e.load("lineitem", spark.range(4000, numPartitions=3).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 7 AS l_partkey", "2 AS l_quantity"))
+        tracker = spark.sparkContext.statusTracker()
+        stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"load {shards}")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (stages == [1]) == (shards <= 16)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    there = e.table("lineitem", with_shard=True)
+    assert there.select("l_orderkey").distinct().count() == there.count() == 4000
+    assert there.exceptAll(e.writer.placed(e.vschema.find("lineitem"), there.drop("__shard"))).isEmpty()
+
+
 def test_vacuum_keeps_what_manifests_name(spark, make):
     e = make(2, buckets=4)
     for text in ("INSERT INTO orders (o_orderkey, o_custkey) VALUES (500, 1)", "UPDATE orders SET o_totalprice = 0 WHERE o_custkey = 1", "DELETE FROM orders WHERE o_custkey = 2"):
